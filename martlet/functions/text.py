@@ -69,7 +69,8 @@ def first_non_empty(*candidates: Column) -> Column:
 
 
 def money(c: Column) -> Column:
-    return F.concat(F.lit("€"), F.format_string("%.2f", c))
+    """Two decimals, ties decided on the binary value as Python's formatting does."""
+    return F.concat(F.lit("€"), F.replace(F.format_number(c, 2), F.lit(","), F.lit("")))
 
 
 def thousands(c: Column) -> Column:
