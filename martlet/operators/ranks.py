@@ -9,6 +9,8 @@ points are literals of the plan: a recomputed task cuts in the same places.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,17 +26,18 @@ def split_points(df: DataFrame, value: str, parts: int | None = None) -> list[fl
     parts = parts or _parts(df)
     probs = [i / parts for i in range(1, parts)]
     found = df.agg(F.percentile_approx(value, probs, 20 * parts).alias("p")).first()["p"]
-    return sorted(set(found or []))
+    return sorted({float(p) for p in found or [] if math.isfinite(p)})
 
 
 def _bucket(value: str, cuts: list[float]):
     """Number of split points not above the value, found by halving."""
-    def pick(low: int, high: int):
+    def pick(low: int, high: int) -> str:
         if low == high:
-            return F.lit(low)
+            return str(low)
         middle = (low + high) // 2
-        return F.when(F.col(value) < cuts[middle], pick(low, middle)).otherwise(pick(middle + 1, high))
-    return pick(0, len(cuts))
+        return (f"CASE WHEN `{value}` < {cuts[middle]!r}D THEN {pick(low, middle)} "
+                f"ELSE {pick(middle + 1, high)} END")
+    return F.expr(pick(0, len(cuts)))
 
 
 def counted_pieces(df: DataFrame, keys: list[str], value: str, weight: str | None = None,
