@@ -123,7 +123,7 @@ def min_max(df: DataFrame, columns=("price", "rating", "reviews_count")) -> Data
 
 def one_hot_long(df: DataFrame, key: str, columns=("brand", "category"), n: int = 20) -> DataFrame:
     """(key, feature, value 1.0) for rows holding one of the ``n`` commonest values."""
-    parts = []
+    parts = [df.select(key, F.lit("").alias("feature"), F.lit(1.0).alias("value")).limit(0)]
     for c in present(df, columns):
         top = value_counts(df, c, n).select(c)
         kept = df.select(key, c).join(F.broadcast(top), c)  # n rows

@@ -34,6 +34,12 @@ class ModelData:
     test: DataFrame
     features: list[str]
     target: str
+    table: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop the cached feature table."""
+        if self.table is not None:
+            self.table.unpersist()
 
 
 @dataclass
@@ -60,7 +66,7 @@ def model_data(df: DataFrame, target: str = "price", split_key: str | None = Non
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names],
         F.col(target).cast("double").alias(target), F.pmod(key, F.lit(5)).alias("split"),
         F.pmod(F.xxhash64(key), F.lit(5)).cast("int").alias("fold")).persist()
-    return ModelData(table.where("split <> 0"), table.where("split = 0"), names, target)
+    return ModelData(table.where("split <> 0"), table.where("split = 0"), names, target, table)
 
 
 def _penalty(name: str, n: float, spread: float) -> dict:
@@ -167,14 +173,14 @@ def cross_validate(data: ModelData, name: str, trees: int = 100, rounds: int = 1
 def price_models(data: ModelData, names=ALL_MODELS, cv_folds: int | None = 5, **sizes) -> DataFrame:
     """One row per model: test metrics, cross-validated R2, what was fitted."""
     trained = train(data, names, **sizes)
-    table = regression_metrics(predict(trained, data.test), data.target, names)
+    measured = regression_metrics(predict(trained, data.test), data.target, names).collect()
     rows = []
-    for name in names:
-        mean, std = cross_validate(data, name, folds=cv_folds, **sizes) if cv_folds else (None, None)
-        rows.append((name, mean, std, trained.methods[name]))
-    notes = data.train.sparkSession.createDataFrame(
-        rows, "model string, cv_r2_mean double, cv_r2_std double, method string")
-    return table.join(F.broadcast(notes), "model")  # one row per model
+    for r in measured:  # one row per model
+        mean, std = cross_validate(data, r["model"], folds=cv_folds, **sizes) if cv_folds else (None, None)
+        rows.append((*r, mean, std, trained.methods[r["model"]]))
+    return data.train.sparkSession.createDataFrame(
+        rows, "model string, mse double, mae double, rmse double, r2 double, "
+              "cv_r2_mean double, cv_r2_std double, method string")
 
 
 def feature_importance(trained: Trained, data: ModelData) -> DataFrame:

@@ -15,6 +15,12 @@ def _listing_data(t):
         split_key="row_no", leaky=True)
 
 
+def _released(data, table):
+    """The finished table, after giving back the cached features."""
+    data.release()
+    return table
+
+
 def _product_data(t):
     return regression.model_data(t.products.drop("url"), split_key="product_id")
 
@@ -27,22 +33,26 @@ def train_test_split(t):
 
 @query()
 def linear_price_models(t):
-    return regression.price_models(_listing_data(t), regression.LINEAR, cv_folds=None)
+    data = _listing_data(t)
+    return _released(data, regression.price_models(data, regression.LINEAR, cv_folds=None))
 
 
 @query()
 def linear_cross_validation(t):
-    return regression.price_models(_product_data(t), ("ridge",), cv_folds=5)
+    data = _product_data(t)
+    return _released(data, regression.price_models(data, ("ridge",), cv_folds=5))
 
 
 @query()
 def forest_price_models(t):
-    return regression.price_models(_listing_data(t), regression.FORESTS, cv_folds=None, trees=100)
+    data = _listing_data(t)
+    return _released(data, regression.price_models(data, regression.FORESTS, cv_folds=None, trees=100))
 
 
 @query()
 def boosted_price_models(t):
-    return regression.price_models(_product_data(t), regression.BOOSTERS, cv_folds=None, rounds=20)
+    data = _product_data(t)
+    return _released(data, regression.price_models(data, regression.BOOSTERS, cv_folds=None, rounds=20))
 
 
 @query()

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from martlet.workload.views import VIEWS, table, view, with_views
 
 _QUERIES: dict[str, tuple[Callable, str | None]] = {}
-_MODULES = ("statistics", "market", "cleaning", "recommending", "learning")
+_MODULES = ("statistics", "market", "cleaning", "recommending", "learning", "streams", "runs")
 
 
 class Tables:
