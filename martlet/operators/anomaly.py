@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from martlet.operators.features import standardise
 from martlet.operators.linalg import covariance, moments_matrix
 from martlet.operators.ranks import fixed_row, quantiles
-from martlet.session import cut_lineage
+from martlet.session import cut_lineage, spread_out
 
 SEED = 42
 CONTAMINATION = 0.1
@@ -20,7 +20,7 @@ def anomaly_table(df: DataFrame, key: str, columns: list[str]) -> tuple[DataFram
     """Key and standardised columns of the complete rows."""
     rows = standardise(df.na.drop(subset=columns), columns)
     names = [f"z_{c}" for c in columns]
-    return cut_lineage(rows.select(key, *names)), names
+    return spread_out(cut_lineage(rows.select(key, *names))), names
 
 
 def _flag(scored: DataFrame, share: float, method: str, high: bool = True) -> DataFrame:

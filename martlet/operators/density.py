@@ -13,10 +13,11 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlet.operators.components import components
+from martlet.operators.features import value_codes
 from martlet.session import cut_lineage
 
 _EDGE = 1e-9  # slack of box tests only; distances are compared exactly
@@ -161,10 +162,9 @@ def dbscan(df: DataFrame, columns: list[str], eps: float = 0.5, min_samples: int
     core = points.where("dense").select(*columns, "cell", *grid).unionByName(
         thin.join(counted, columns, "left_semi").select(*columns, "cell", *grid))
     core = cut_lineage(core)
-    found = _connected_cells(core, columns, eps, chunk)
-    # one row per cluster: numbered in the order of their ids
-    numbers = found.select("component").distinct().select(
-        "component", (F.row_number().over(Window.orderBy("component")) - 1).cast("int").alias("label"))
+    found = cut_lineage(_connected_cells(core, columns, eps, chunk))
+    numbers = value_codes(found, "component").select(
+        F.col("value").alias("component"), F.col("code").cast("int").alias("label"))
     cell_label = found.join(numbers, "component").select(F.col("id").alias("cell"), "label")
     core_label = cut_lineage(core.join(cell_label, "cell"))
     rest = thin.join(core.select(*columns), columns, "left_anti")

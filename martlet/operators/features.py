@@ -58,7 +58,8 @@ def model_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def value_codes(df: DataFrame, column: str, window_limit: int = 200_000) -> DataFrame:
+def value_codes(df: DataFrame, column: str, window_limit: int = 200_000,
+                n: int | None = None) -> DataFrame:
     """(value, code): codes 0, 1, ... in the order of the values.
 
     Up to ``window_limit`` distinct values are numbered by one window.  Beyond
@@ -66,7 +67,8 @@ def value_codes(df: DataFrame, column: str, window_limit: int = 200_000) -> Data
     shifted by the sizes of the pieces before.
     """
     values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
-    n = values.agg(F.approx_count_distinct("value").alias("n")).first()["n"]
+    if n is None:
+        n = values.agg(F.approx_count_distinct("value").alias("n")).first()["n"]
     if n <= window_limit:
         order = Window.orderBy("value")
         return values.select("value", (F.row_number().over(order) - 1).cast("long").alias("code"))
@@ -92,10 +94,11 @@ def encode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     if not columns:
         return df
     filled = df.withColumns({c: F.coalesce(F.col(c), F.lit("Unknown")) for c in columns})
-    spread = filled.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).first()
+    found = filled.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns],
+                       *[F.approx_count_distinct(c).alias(f"n_{c}") for c in columns]).first()
     for c in columns:
-        if spread[c]:
-            codes = value_codes(filled, c).select(
+        if found[c]:
+            codes = value_codes(filled, c, n=found[f"n_{c}"]).select(
                 F.col("value").alias(c), F.col("code").alias(f"{c}_encoded"))
             filled = filled.join(codes, c)
     return filled

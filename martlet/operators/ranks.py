@@ -41,14 +41,14 @@ def _bucket(value: str, cuts: list[float]):
 
 
 def counted_pieces(df: DataFrame, keys: list[str], value: str, weight: str | None = None,
-                   parts: int | None = None):
+                   cuts: list[float] | None = None):
     """Counts per value, cut into pieces, and the row offset of every piece.
 
     Returns ``(counts, pieces)``: counts(keys, value, cnt, piece) and
     pieces(keys, piece, below, held, total).
     """
     rows = df.where(F.col(value).isNotNull())
-    cuts = split_points(rows, value, parts)
+    cuts = split_points(rows, value) if cuts is None else cuts
     times = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = (rows.groupBy(*keys, value).agg(times.alias("cnt"))
               .withColumn("piece", _bucket(value, cuts)))
@@ -69,13 +69,14 @@ def _running(joined: DataFrame, keys: list[str], value: str) -> DataFrame:
         "before", F.col("below") + F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str,
-                  weight: str | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None,
+                  cuts: list[float] | None = None) -> DataFrame:
     """(keys, value, cnt, total, avg_rank): ties share their mean rank, from 1.
 
-    ``weight`` names a column saying how many rows a row stands for.
+    ``weight`` names a column saying how many rows a row stands for; ``cuts`` are
+    split points found before.
     """
-    counts, pieces = counted_pieces(df, keys, value, weight)
+    counts, pieces = counted_pieces(df, keys, value, weight, cuts)
     ranked = _running(counts.join(pieces, [*keys, "piece"]), keys, value)
     return ranked.select(*keys, value, "cnt", "total",
                          (F.col("before") + (F.col("cnt") + 1) / 2).alias("avg_rank"))

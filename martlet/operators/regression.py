@@ -65,7 +65,10 @@ def model_data(df: DataFrame, target: str = "price", split_key: str | None = Non
     table = made.select(
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names],
         F.col(target).cast("double").alias(target), F.pmod(key, F.lit(5)).alias("split"),
-        F.pmod(F.xxhash64(key), F.lit(5)).cast("int").alias("fold")).persist()
+        F.pmod(F.xxhash64(key), F.lit(5)).cast("int").alias("fold"))
+    # every learner reads this table many times: even parts, kept
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = table.repartition(parts).persist()
     return ModelData(table.where("split <> 0"), table.where("split = 0"), names, target, table)
 
 

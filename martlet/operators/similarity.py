@@ -133,7 +133,8 @@ def most_similar(long: DataFrame, key: str, k: int = 10, feature: str = "feature
     keys, members, profiles = _profiles(long, key, feature, weight, k)
     probes = cut_lineage(_bounds(profiles, k, chunk))
     blocks = cut_lineage(_blocks(probes, chunk))
-    small = F.broadcast(blocks)  # one row per feature of the model
+    # one row per feature: few for the models here, but the size is checked
+    small = F.broadcast(blocks) if blocks.count() <= 200_000 else blocks
     payload = ["pid", "first_key", "ids", "weights"]
 
     def side(prefix_only: bool):

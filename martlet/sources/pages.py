@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from martlet.functions import amounts, brands, text
 from martlet.functions.urls import DEFAULT_BASE
 from martlet.operators.validate import validate_products
+from martlet.session import spread_out
 
 # Where a product page keeps each field, in order of preference.
 SELECTORS = {
@@ -109,13 +110,25 @@ class _Tree(HTMLParser):
             self.open.parts.append(data)
 
 
+def _steps(selector):
+    """(tag, classes, tests) of each step of a selector."""
+    out = []
+    for step in selector.split():
+        tag, classes, tests = _STEP.match(step).groups()
+        out.append((tag, classes.split(".")[1:], _TEST.findall(tests)))
+    return out
+
+
+_PARSED = {s: _steps(s) for group in (SELECTORS, ALL_MATCHES) for some in group.values() for s in some}
+
+
 def _fits(node, step):
-    tag, classes, tests = _STEP.match(step).groups()
+    tag, classes, tests = step
     if tag and node.tag != tag:
         return False
-    if any(c not in node.classes for c in classes.split(".")[1:]):
+    if classes and not all(c in node.classes for c in classes):
         return False
-    for name, part, wanted in _TEST.findall(tests):
+    for name, part, wanted in tests:
         have = node.attrs.get(name)
         if have is None or (wanted not in have if part else have != wanted):
             return False
@@ -123,7 +136,7 @@ def _fits(node, step):
 
 
 def _select(nodes, selector):
-    *outer, last = selector.split()
+    *outer, last = _PARSED[selector]
     for node in nodes:
         if _fits(node, last):
             up, need = node.parent, list(outer)
@@ -192,7 +205,8 @@ def page_texts(pages: DataFrame, keep: list[str]) -> DataFrame:
             found = pd.DataFrame({f"f_{n}": [f[n] for f in fields] for n in NAMES}, index=batch.index)
             yield pd.concat([batch[keep], found], axis=1)
 
-    return pages.select(*dict.fromkeys([*keep, "html"])).mapInPandas(parse, schema)
+    needed = pages.select(*dict.fromkeys([*keep, "html"]))
+    return spread_out(needed).mapInPandas(parse, schema)
 
 
 def _first_text(c: Column) -> Column:
