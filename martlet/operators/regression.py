@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlet.operators.features import MODEL_FEATURES, encode, model_columns, useful_columns
+from martlet.operators.filters import enough_rows
 from martlet.schema import present
 from martlet.session import shared_dir
 
@@ -56,6 +57,8 @@ def model_data(df: DataFrame, target: str = "price", split_key: str | None = Non
     and ``has_discount`` out.
     """
     rows = df.where(F.col(target).isNotNull())
+    if not enough_rows(rows, 10):
+        raise ValueError("at least 10 rows with a target are needed")
     made = encode(model_columns(rows))
     names = [c for c in made.columns if c.endswith("_encoded")] + present(made, MODEL_FEATURES) + list(extra)
     if not leaky:

@@ -34,10 +34,11 @@ def statistics(df: DataFrame) -> dict[str, DataFrame]:
             "outliers": outliers.outlier_summary(df, numbers)}
 
 
-def _models(df: DataFrame, names) -> DataFrame:
+def _models(df: DataFrame, names) -> dict[str, DataFrame]:
     data = regression.model_data(df)
     try:
-        return regression.price_models(data, names, cv_folds=None)
+        measured = regression.price_models(data, names, cv_folds=None)
+        return {"models": measured, "best_model": regression.best_model(measured)}
     finally:
         data.release()
 
@@ -73,7 +74,7 @@ def run_all(source: DataFrame, steps=STEPS, models=("linear_regression", "ridge"
                                 "column_quality": quality.column_quality(cleaned)})
     attempt("preprocessing", preprocess)
     attempt("statistics", lambda: statistics(state["ready"]))
-    attempt("models", lambda: {"models": _models(state["ready"], models)})
+    attempt("models", lambda: _models(state["ready"], models))
     attempt("insights", lambda: {"insights": insights.insights(cleaned, present(cleaned, ("price", "rating")))})
     spark = source.sparkSession
     notes = spark.createDataFrame(status, "step string, status string, message string")

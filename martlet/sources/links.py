@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from martlet.functions.urls import DEFAULT_BASE, is_category_link, is_product_link, normalize_url
@@ -14,6 +14,12 @@ CATEGORY_PATHS = (
     "/kufje", "/telefon-tablet", "/telefon", "/tablet", "/smart-orë-aksesore", "/kamera-dron",
     "/kamera", "/dron",
 )
+# Top-level category pages of a second seed list.
+TOP_CATEGORY_PATHS = (
+    "/kategoria/teknologji", "/kategoria/mode", "/kategoria/shtepi-kopesht", "/kategoria/sport-outdoor",
+    "/kategoria/bukuri-shendeti", "/kategoria/foshnja-femije", "/kategoria/automjete",
+    "/kategoria/liber-muzike",
+)
 # Where a category may live, and how its pages are numbered.
 CATEGORY_PATTERNS = ("/kategoria/{}", "/category/{}", "/c/{}", "/{}")
 PAGE_PATTERNS = ("?page={}", "/page/{}", "?p={}")
@@ -44,6 +50,12 @@ def unseen_links(found: DataFrame, listed: DataFrame) -> DataFrame:
     return found.join(listed.select("link").distinct(), "link", "left_anti")
 
 
+def seed_urls(spark: SparkSession, paths=CATEGORY_PATHS, base: str = DEFAULT_BASE) -> DataFrame:
+    """The fixed category pages as a table of URLs."""
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    return rows.select(normalize_url(F.col("path"), base).alias("url"))
+
+
 def _fill(pattern, value):
     return F.replace(pattern, F.lit("{}"), value)
 

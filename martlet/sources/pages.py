@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martlet.functions import amounts, brands, text
+from martlet.functions import amounts, brands, specs, text
 from martlet.functions.urls import DEFAULT_BASE
 from martlet.operators.validate import validate_products
 from martlet.session import spread_out
@@ -231,17 +231,13 @@ def extract_fields(pages: DataFrame, keep: list[str] = ("url",)) -> DataFrame:
     reviews = F.coalesce(_first_of(f["reviews_count"], amounts.review_count_in_text).cast("string"), F.lit(""))
     brand = brands.brand_of(_first_text(f["brand"]), F.coalesce(F.get(f["heading"], F.lit(0)), F.lit("")))
     category = F.array_join(F.transform(f["category"], text.clean_text), " > ")
-    pairs = F.filter(F.transform(f["specifications"], lambda s: F.struct(
+    pairs = F.transform(f["specifications"], lambda s: F.struct(
         text.clean_text(F.get(F.split(s, "\x00"), F.lit(0))).alias("key"),
-        text.clean_text(F.get(F.split(s, "\x00"), F.lit(1))).alias("value"))),
-        lambda s: (s["key"] != "") & (s["value"] != ""))
-    # of a repeated key the last value stays
-    last = F.filter(pairs, lambda s, i: ~F.exists(
-        F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == s["key"]))
+        text.clean_text(F.get(F.split(s, "\x00"), F.lit(1))).alias("value")))
     return p.select(
         *keep, _first_text(f["title"]).alias("title"), price.alias("price"), original.alias("original_price"),
         _first_text(f["description"]).alias("description"), f["images"].alias("images"),
-        F.map_from_entries(last).alias("specifications"), brand.alias("brand"), category.alias("category"),
+        specs.last_wins(pairs).alias("specifications"), brand.alias("brand"), category.alias("category"),
         _first_text(f["availability"]).alias("availability"), rating.alias("rating"),
         reviews.alias("reviews_count"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from martlet.functions import amounts, bins, brands, text, urls
+from martlet.functions import amounts, bins, brands, specs, text, urls
 from martlet.operators import cleaning, features, validate
 from martlet.sources import links, pages
 from martlet.workload.registry import query
@@ -284,3 +284,30 @@ def category_display_names(t):
 def price_range_labels(t):
     return t.listings.groupBy(bins.price_range(F.col("price")).alias("rating_category")).agg(
         F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, concat(event_type, ' x') AS kind, CAST(user_id AS VARCHAR) AS "user" FROM events""")
+def spec_lines(t):
+    lines = F.array(F.concat(F.lit("kind: old")), F.concat(F.lit(" kind :  "), "event_type", F.lit("  x")),
+                    F.lit("no colon"), F.concat(F.lit("user:"), F.col("user_id").cast("string")))
+    made = t.events.select("event_id", specs.from_lines(lines).alias("m"))
+    return made.select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["user"].alias("user"))
+
+
+@query("""SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS "user" FROM events""")
+def spec_pairs(t):
+    made = t.events.select("event_id", specs.from_pairs(
+        F.array(F.lit("kind "), F.lit("user"), F.lit("left over")),
+        F.array("event_type", F.col("user_id").cast("string"))).alias("m"))
+    return made.select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["user"].alias("user"))
+
+
+@query("""SELECT DISTINCT concat('https://shop.example', h) AS link FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"/][^"]*)"', 1)) AS h FROM pages)
+WHERE page_id % 2 = 0 AND NOT regexp_matches(lower(h), '/account/|/login|/register|/cart|/wishlist|/faq|/contact|/about|/terms|/privacy|/cdn-cgi/|mailto:|tel:|#|/outlet|/gift-cards|/cfare-ka-te-re')
+AND concat('https://shop.example', h) NOT IN (SELECT concat('https://shop.example', h) FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"/][^"]*)"', 1)) AS h FROM pages) WHERE page_id % 2 = 1)""")
+def unseen_links(t):
+    # pages of even number against those of odd number, all of them read
+    even, odd = t.pages.where("page_id % 2 = 0"), t.pages.where("page_id % 2 = 1")
+    return links.unseen_links(links.category_links(even), links.category_links(odd))

@@ -22,6 +22,14 @@ def category_cheapest(t):
     return ranking.best_in_category(t.products, "small", 10, "price")
 
 
+@query("""SELECT product_id, title, brand, category, price, rating, reviews_count, url,
+       'reviews_count' AS sort_criteria, 'category_based' AS method FROM products
+WHERE regexp_matches(category, '(?i)promo') ORDER BY reviews_count DESC NULLS LAST, product_id LIMIT 10""",
+       "price rating")
+def category_most_reviewed(t):
+    return ranking.best_in_category(t.products, "promo", 10, "reviews_count")
+
+
 @query("""SELECT product_id, title, brand, category, price, rating, reviews_count, url,
        round(abs(price - 950) / 950 * 100, 2) AS price_difference_pct, 950.0::DOUBLE AS target_price,
        'price_based' AS method FROM products WHERE price BETWEEN 950 * (1 - 0.2) AND 950 * (1 + 0.2)
