@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martlet.operators.ranks import fixed_row, quantiles, quantiles_long
+from martlet.operators.ranks import bind_row, quantiles, quantiles_long
 from martlet.operators.topk import rows_of_top
 
 
@@ -17,12 +17,13 @@ def histogram(df: DataFrame, value: str, nbins: int) -> DataFrame:
     A constant column is one bin of zero width.
     """
     rows = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    span = fixed_row(rows.agg(F.min("v").alias("low"), F.max("v").alias("high"),
-                              F.count("v").alias("n")))
+    facts = rows.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n"))
+    rows, span = bind_row(rows, facts)
     step = (span["high"] - span["low"]) / nbins
     spot = F.floor(F.try_divide(F.col("v") - span["low"], step)).cast("int")
     index = F.least(F.coalesce(spot, F.lit(0)), F.lit(nbins - 1))
     counts = rows.groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts, span = bind_row(counts, facts)
     low = span["low"] + F.col("bin") * step
     return counts.select("bin", low.alias("low"), (low + step).alias("high"), "count",
                          F.try_divide(F.col("count"), span["n"] * step).alias("density"))
@@ -42,8 +43,8 @@ def five_numbers(df: DataFrame, value: str = "price", keys: list[str] = ()) -> D
         outer = [F.first("q1").alias("q1"), mid.alias("median"), F.first("q3").alias("q3")]
         grouped = joined.groupBy(*keys)
     else:
-        s = fixed_row(spots)
-        joined = rows.select(value).withColumns({n: s[n] for n in ("q1", "median", "q3")})
+        bound, s = bind_row(rows.select(value), spots)
+        joined = bound.select(value, *[s[n].alias(n) for n in ("q1", "median", "q3")])
         q1, q3 = F.col("q1"), F.col("q3")
         outer = [F.first(n).alias(n) for n in ("q1", "median", "q3")]
         grouped = joined.groupBy()
@@ -66,14 +67,16 @@ def density_curve(df: DataFrame, value: str = "price", points: int = 200) -> Dat
     """
     counts = (df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v"))
               .agg(F.count(F.lit(1)).alias("times")))
-    s = fixed_row(df.agg(F.min(value).alias("low"), F.max(value).alias("high"),
-                         F.count(value).alias("n"), F.stddev(value).alias("std")))
+    facts = df.agg(F.min(value).alias("low"), F.max(value).alias("high"),
+                   F.count(value).alias("n"), F.stddev(value).alias("std"))
+    counts, s = bind_row(counts, facts)
     step = (s["high"] - s["low"]) / (points - 1)
     width = s["std"] * F.pow(s["n"], F.lit(-0.2))
-    grid = counts.select("v", "times", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    grid = counts.select("v", "times", "_fixed", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     at = s["low"] + F.col("point") * step
     z = F.try_divide(at - F.col("v"), width)
     sums = grid.groupBy("point").agg(F.sum(F.col("times") * F.exp(-0.5 * z * z)).alias("mass"))
+    sums, s = bind_row(sums, facts)
     return sums.select("point", at.alias("x"), F.try_divide(
         F.col("mass"), s["n"] * width * F.sqrt(2 * F.pi())).alias("density"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlet.functions import bins, text
-from martlet.operators.ranks import fixed_row, medians
+from martlet.operators.ranks import bind_row, medians
 from martlet.operators.topk import value_counts
 from martlet.schema import as_double, has, present, string_columns
 
@@ -115,13 +115,13 @@ def min_max(df: DataFrame, columns=("price", "rating", "reviews_count")) -> Data
     columns = present(df, columns)
     middle = medians(df, columns)
     filled = {c: F.coalesce(as_double(c), F.lit(middle.get(c))) for c in columns}
-    bounds = fixed_row(df.agg(*[F.min(as_double(c)).alias(f"low_{c}") for c in columns],
-                              *[F.max(as_double(c)).alias(f"high_{c}") for c in columns]))
-    return df.withColumns({
+    bound, bounds = bind_row(df, df.agg(*[F.min(as_double(c)).alias(f"low_{c}") for c in columns],
+                                        *[F.max(as_double(c)).alias(f"high_{c}") for c in columns]))
+    return bound.withColumns({
         f"{c}_normalized": F.coalesce(
             F.try_divide(filled[c] - bounds[f"low_{c}"],
                          bounds[f"high_{c}"] - bounds[f"low_{c}"]), F.lit(0.0))
-        for c in columns})
+        for c in columns}).drop("_fixed")
 
 
 def one_hot_long(df: DataFrame, key: str, columns=("brand", "category"), n: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlet.functions import bins, stats
-from martlet.operators.ranks import columns_long, fixed_row, quantiles
+from martlet.operators.ranks import bind_row, columns_long, fixed_row, quantiles
 from martlet.operators.topk import best_per_group, value_counts
 from martlet.schema import numeric_columns, present, string_columns
 
@@ -105,7 +105,7 @@ def price_segments(df: DataFrame) -> DataFrame:
 
     Equal quartile edges make the segments meaningless; ``edges_distinct`` says so.
     """
-    spots = fixed_row(quantiles(df, [], "price", {
+    rows, spots = bind_row(df.where(F.col("price").isNotNull()).select("price"), quantiles(df, [], "price", {
         "q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0}))
     q = [spots[f"q{i}"] for i in range(5)]
     p = F.col("price")
@@ -113,8 +113,7 @@ def price_segments(df: DataFrame) -> DataFrame:
     for i in (1, 2, 3):
         segment = segment.when(p <= q[i + 1], F.lit(PRICE_SEGMENTS[i]))
     distinct = (q[0] < q[1]) & (q[1] < q[2]) & (q[2] < q[3]) & (q[3] < q[4])
-    return (df.where(p.isNotNull())
-            .groupBy(segment.alias("segment"), distinct.alias("edges_distinct"))
+    return (rows.groupBy(segment.alias("segment"), distinct.alias("edges_distinct"))
             .agg(F.count(p).alias("count"), F.avg(p).alias("mean_price")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.operators.filters import category_like, price_near, recent_or_all
-from martlet.operators.ranks import fixed_row
+from martlet.operators.ranks import bind_row
 from martlet.schema import present
 
 SHOWN = ("product_id", "title", "brand", "category", "price", "rating", "reviews_count", "url")
@@ -50,7 +50,9 @@ def trending(df: DataFrame, as_of, days: int = 7, n: int = 10) -> DataFrame:
         facts["top_price"] = F.max("price")
     if "scraped_at" in df.columns:
         facts["newest"] = F.max("scraped_at")
-    whole = fixed_row(rows.agg(*[c.alias(k) for k, c in facts.items()])) if facts else None
+    whole = None
+    if facts:
+        rows, whole = bind_row(rows, rows.agg(*[c.alias(k) for k, c in facts.items()]))
     scores = []
     if "reviews_count" in df.columns:
         scores.append(F.coalesce(F.col("reviews_count"), F.lit(0)).cast("double"))

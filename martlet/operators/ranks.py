@@ -137,3 +137,11 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
 def fixed_row(df: DataFrame):
     """A one-row aggregate as a struct expression usable in any projection."""
     return df.select(F.struct(*df.columns).alias("s")).scalar()
+
+
+def bind_row(df: DataFrame, facts: DataFrame):
+    """(df with the one-row aggregate as a struct, that struct).
+
+    For facts used many times over: the subquery is planned once.
+    """
+    return df.withColumn("_fixed", fixed_row(facts)), F.col("_fixed")
