@@ -45,16 +45,15 @@ def product_id_from_url(t):
 
 
 @query("""SELECT listing_id, list_extract(a, 2) || ' €' AS current_price, list_extract(a, 1) || ' €' AS original_price,
-       CASE WHEN r BETWEEN 0 AND 5 THEN r
-            ELSE TRY_CAST(nullif(regexp_extract(blurb, '([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) END AS rating_guess,
+       CASE WHEN r BETWEEN 0 AND 5 THEN r WHEN f BETWEEN 0 AND 5 THEN f END AS rating_guess,
        CAST(regexp_extract(blurb, '([0-9]+)\\s*reviews', 1) AS INT) AS reviews FROM (
   SELECT *, regexp_extract_all(blurb, '([0-9]+(?:\\.[0-9]{2})?)\\s*€', 1) AS a,
-         CAST(regexp_extract(blurb, '([0-9]+)/5', 1) AS DOUBLE) AS r FROM raw_products)
-WHERE r <= 5""", "rating_guess")
+         CAST(regexp_extract(blurb, '([0-9]+)/5', 1) AS DOUBLE) AS r,
+         CAST(regexp_extract(blurb, '([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS f FROM raw_products)""",
+       "rating_guess")
 def smart_text_fields(t):
     b = F.col("blurb")
-    rated = F.regexp_extract(b, "([0-9]+)/5", 1).try_cast("double")
-    return t.raw_products.where(rated <= 5).select(
+    return t.raw_products.select(
         "listing_id", amounts.current_price_text(b).alias("current_price"),
         amounts.original_price_text(b).alias("original_price"),
         amounts.rating_in_text(b).alias("rating_guess"),
@@ -302,12 +301,13 @@ def spec_pairs(t):
     return made.select("event_id", F.col("m")["kind"].alias("kind"), F.col("m")["user"].alias("user"))
 
 
-@query("""SELECT DISTINCT concat('https://shop.example', h) AS link FROM (
-  SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"/][^"]*)"', 1)) AS h FROM pages)
-WHERE page_id % 2 = 0 AND NOT regexp_matches(lower(h), '/account/|/login|/register|/cart|/wishlist|/faq|/contact|/about|/terms|/privacy|/cdn-cgi/|mailto:|tel:|#|/outlet|/gift-cards|/cfare-ka-te-re')
-AND concat('https://shop.example', h) NOT IN (SELECT concat('https://shop.example', h) FROM (
-  SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"/][^"]*)"', 1)) AS h FROM pages) WHERE page_id % 2 = 1)""")
+@query("""WITH h AS (SELECT url, concat('https://shop.example', h) AS link FROM (
+  SELECT url, unnest(regexp_extract_all(html, 'href="(/[^"/][^"]*)"', 1)) AS h FROM pages)
+  WHERE NOT regexp_matches(lower(h), '/account/|/login|/register|/cart|/wishlist|/faq|/contact|/about|/terms|/privacy|/cdn-cgi/|mailto:|tel:|#|/outlet|/gift-cards|/cfare-ka-te-re'))
+SELECT link FROM h GROUP BY 1 HAVING count(DISTINCT url) = 1""")
 def unseen_links(t):
-    # pages of even number against those of odd number, all of them read
-    even, odd = t.pages.where("page_id % 2 = 0"), t.pages.where("page_id % 2 = 1")
-    return links.unseen_links(links.category_links(even), links.category_links(odd))
+    # links that a second page lists as well are the known ones
+    found = links.category_links(t.pages)
+    again = links.hrefs(t.pages).groupBy(urls.normalize_url(F.col("href")).alias("link")).agg(
+        F.count_distinct("url").alias("n")).where("n > 1")
+    return links.unseen_links(found, again)
