@@ -1,17 +1,18 @@
 """Near-duplicate documents by min-max hashing, confirmed on full shingle sets.
 
-A document's set holds its distinct windows of ``size`` words.  Under each of 64
-permutations both the least and the greatest value of the set are kept, so 64
-evaluations give 128 signature values; either one agrees between two sets with the
-probability of their similarity.  The values fill 32 bands of four, so two sets of
-similarity 0.8 miss each other in all bands once in some 20 million pairs.
+A document's set holds its distinct windows of ``size`` words.  Under each of 56
+permutations both the least and the greatest value of the set are kept, so 56
+evaluations give 112 signature values; either one agrees between two sets with the
+probability of their similarity.  The values fill 28 bands of four, so two sets of
+similarity 0.8 miss each other in all bands once in some 2.6 million pairs.
 
 Documents with equal sets are one node, named by a 128-bit digest of the set, and only
-nodes are compared.  First each member of a band's bucket is held against the bucket's
-smallest node; every such pair is confirmed on the full sets, which are made from the
-texts again.  Where the members of a bucket are not all connected by that, those outside
-its largest component are held against the other components' members, too, so no link
-between two members of a bucket is lost, and groups of copies cost a pair per copy.
+nodes are compared.  First each member of a band's bucket is held against the member
+that meets most others, which connects the copies of one text at a pair per copy.  Where
+the members of a bucket are then not all connected, those outside its largest component
+are held, in blocks, against the members of all components, so no link between two
+members of a bucket is lost and no pairs are listed.  All comparisons are made on the full
+sets, which are made from the texts again.
 
 Null and empty texts have no set and no link.  Rows without doc_id take part in no link,
 have no component and are kept.  Rows that repeat are documents like others.  Columns of
@@ -27,17 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from martlet.llm.words import map_texts, mix, seeds, texts_of, windows, word_hashes
 from martlet.operators.components import components
 from martlet.session import work_path
 
-PERMUTATIONS, BANDS = 64, 32
+PERMUTATIONS, BANDS = 56, 28
 _FLIP = seeds(PERMUTATIONS, 5000)[:, None]
 _TIMES = seeds(PERMUTATIONS, 6000)[:, None] | np.uint64(1)
-#: Hashes of a confirmed group that are read behind one copy of its centre.
-GROUP_SHINGLES = 2_000_000
+#: Shingles and texts that one block holds, and shingles that stream past one centre.
+BLOCK_SHINGLES, BLOCK_TEXTS, STREAM_SHINGLES = 1_000_000, 256, 2_000_000
+#: Rows (some 100 bytes) up to which the list of texts wanted is broadcast to the documents; beyond, they are joined.
+BROADCAST_ROLES = 400_000
 
 
 def shingles(raw: bytes, size: int) -> np.ndarray:
@@ -82,47 +86,84 @@ def with_sets(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     def one(raw: bytes):
         found = shingles(raw, size)
-        return len(found), digest_of(found), bands(signature(found)) if len(found) else []
+        if not len(found):
+            return 0, None, []
+        return len(found), digest_of(found), bands(signature(found))
 
     return map_texts(docs, one, "n long, node binary, bands array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full sets are similar enough.
+class _Block:
+    """Sets held together: a search gives the intersection of each with another set."""
 
-    A centre's set is made once for a stretch of its members, which stream behind it.
+    def __init__(self):
+        self.nodes, self.parts, self.sets, self.index = [], [], [], None
+
+    def add(self, node: bytes, part: bytes | None, found: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.parts.append(part)
+        self.sets.append(found)
+
+    def similar(self, found: np.ndarray, percent: int) -> np.ndarray:
+        if self.index is None:
+            owner = np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+            values = np.concatenate(self.sets)
+            order = np.argsort(values, kind="stable")
+            self.index = values[order], owner[order], np.array([len(x) for x in self.sets])
+        values, owner, sizes = self.index
+        low, high = np.searchsorted(values, found, "left"), np.searchsorted(values, found, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sizes))
+        return np.flatnonzero(100 * both >= percent * (sizes + len(found) - both))
+
+
+def _confirmed(docs: DataFrame, roles: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links (u, v) of similar enough full sets.
+
+    ``roles`` has (g, slot, member, node, part, doc_id): for each (g, slot), the sets of
+    the rows with member 0 are held as a block, those with member 1 stream past it.  Sets
+    of one part are not compared, and a set is linked once to each other part.
     """
-    cast = pairs.sparkSession
-    near = pairs.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-    load = near.groupBy("a").agg(F.ceil(F.sum("n_b") / GROUP_SHINGLES).alias("slots"))
-    slotted = near.join(load, "a").withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots")))
-    roles = (slotted.select("a", "slot", F.col("b").alias("node"), F.col("doc_b").alias("doc_id"), F.lit(1).alias("member"))
-             .union(slotted.select("a", "slot", F.col("a").alias("node"), F.col("doc_a").alias("doc_id"), F.lit(0).alias("member"))
-                    .distinct()))
-    texts = roles.join(docs.select("doc_id", "text"), "doc_id").select("a", "slot", "member", "node", "text")
+    spark = roles.sparkSession
+    wanted = _written(roles, "roles")
+    if wanted.count() <= BROADCAST_ROLES:
+        wanted = F.broadcast(wanted)
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("g", "slot", "member", "node", "part", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, centre = None, None
+        of, block = None, _Block()
         for batch in batches:
             kept: tuple[list[bytes], list[bytes]] = ([], [])
-            for a, slot, member, node, raw in zip(*[batch.column(c).to_pylist() for c in ("a", "slot", "member", "node")],
-                                                  texts_of(batch, "text")):
+            named = [batch.column(c).to_pylist() for c in ("g", "slot", "member", "node", "part")]
+            for g, slot, member, node, part, raw in zip(*named, texts_of(batch, "text")):
                 found = shingles(raw or b"", size)
                 if digest_of(found) != node:
                     continue  # another text under the same doc_id
+                if of != (g, slot):
+                    of, block = (g, slot), _Block()
                 if not member:
-                    of, centre = (a, slot), found
+                    block.add(node, part, found)
                     continue
-                if of != (a, slot):
-                    raise ValueError("a member without its centre")
-                both = len(centre) + len(found) - len(np.union1d(centre, found))
-                if 100 * both >= percent * (len(centre) + len(found) - both):
-                    kept[0].append(a)
-                    kept[1].append(node)
+                linked = {}
+                for k in block.similar(found, percent).tolist() if block.nodes else ():
+                    if block.nodes[k] != node and (part is None or block.parts[k] != part):
+                        linked[block.parts[k]] = block.nodes[k]
+                kept[0].extend(linked.values())
+                kept[1].extend([node] * len(linked))
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()) for k in kept], ["u", "v"])
 
-    dealt = texts.repartition(int(cast.conf.get("spark.sql.shuffle.partitions")), "a", "slot")
-    return dealt.sortWithinPartitions("a", "slot", "member").mapInArrow(run, "u binary, v binary")
+    dealt = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g", "slot")
+    return dealt.sortWithinPartitions("g", "slot", "member").mapInArrow(run, "u binary, v binary")
+
+
+def _open_buckets(shared: DataFrame, placed: DataFrame) -> DataFrame:
+    """The members of buckets that lie in several components, beside their bucket's largest one."""
+    placed = _written(shared.join(placed.select(F.col("id").alias("node"), "component"), "node"), "placed")
+    shares = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    mixed = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts"),
+                                      F.max_by("component", "members").alias("largest")).where("parts > 1")
+    return placed.join(mixed.select("key", "largest"), "key")
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
@@ -139,36 +180,46 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     signed = _written(_signed(named, size), "signed")
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    of_node = signed.where("n > 0").join(nodes.select("node", F.col("doc_id").alias("first")), "node")
-    banded = _written(of_node.where("doc_id = first").dropDuplicates(["node"])
-                      .select("node", "doc_id", "n", F.explode("bands").alias("key")), "banded")
-    sizes = nodes.select("node", "doc_id", "n")
-
-    def described(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(sizes.select(F.col("node").alias(side), F.col("doc_id").alias(f"doc_{side}"),
-                                            F.col("n").alias(f"n_{side}")), side)
-        return pairs
-
-    buckets = banded.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pairs = (banded.select("key", F.col("node").alias("b")).join(buckets.select("key", "a"), "key")
-             .where("a <> b").select("a", "b").distinct())
-    links = _written(_confirmed(named, described(pairs), size, percent), "links")
-    first = _written(components(sizes.select(F.col("node").alias("id")), links), "linked")
-
-    # buckets whose members are in several components
-    placed = banded.select("key", "node").join(first.select(F.col("id").alias("node"), "component"), "node")
-    shares = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    mixed = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts"),
-                                      F.max_by("component", "members").alias("largest")).where("parts > 1")
-    open_ = placed.join(mixed.select("key", "largest"), "key")
-    left = open_.where("component <> largest").select("key", F.col("node").alias("a"), F.col("component").alias("of_a"))
-    cross = (left.join(open_.select("key", F.col("node").alias("b"), F.col("component").alias("of_b")), "key")
-             .where("of_a <> of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-             .join(pairs, ["a", "b"], "left_anti"))
-    more = _written(links.union(_confirmed(named, described(cross), size, percent)), "links")
-    final = components(sizes.select(F.col("node").alias("id")), more)
+    nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    firsts = nodes.select(F.col("node").alias("of"), F.col("doc_id").alias("first"))
+    banded = _written(signed.where("n > 0").join(firsts, (F.col("node") == F.col("of")) & (F.col("doc_id") == F.col("first")))
+                      .dropDuplicates(["node"]).select("node", "doc_id", "n", "bands"), "banded")
+    sizes = banded.select("node", "doc_id", "n")
+    ids = banded.select(F.col("node").alias("id"))
+
+    # only buckets with two nodes and more stay; counting needs the keys alone
+    each = banded.select(F.explode("bands").alias("key"), "node")
+    busy = each.groupBy("key").count().where("count > 1")
+    met = _written(each.join(busy, "key"), "met")
+    # the text that others were made from meets most of them, so the most met come first
+    fame = met.groupBy("node").agg(F.sum("count").alias("fame"))
+    shared = _written(met.select("key", "node").join(fame, "node"), "shared")
+
+    # round one: each bucket's most met node against its other members
+    heads = shared.groupBy("key").agg(F.max(F.struct("fame", "node")).alias("head")).select("key", F.col("head.node").alias("g"))
+    pairs = (shared.join(heads, "key").where("g <> node").select("g", "node").distinct()
+             .join(sizes, "node").join(sizes.select(F.col("node").alias("g"), F.col("n").alias("n_g"), F.col("doc_id").alias("doc_g")), "g")
+             .where(F.least("n", "n_g") * 100 >= F.greatest("n", "n_g") * percent))
+    star = _written(pairs, "pairs")
+    load = star.groupBy("g").agg(F.ceil(F.sum("n") / STREAM_SHINGLES).alias("slots"))
+    slotted = star.join(load, "g").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")))
+    nothing = F.lit(None).cast("binary").alias("part")
+    links = _written(_confirmed(named, slotted.select("g", "slot", F.lit(1).alias("member"), "node", nothing, "doc_id").union(
+        slotted.select("g", "slot", F.lit(0), F.col("g"), nothing, "doc_g").distinct()), size, percent), "links")
+
+    # round two: in buckets that still have several components, those outside the largest, in
+    # blocks, against all members that such buckets of the same largest component have
+    open_ = _open_buckets(shared, components(ids, links)).select(
+        F.col("largest").alias("g"), "node", F.col("component").alias("part")).distinct().join(sizes, "node")
+    open_ = _written(open_, "open")
+    left = open_.where("part <> g")
+    slots = left.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("slots"))
+    held = left.join(slots, "g").select("g", F.pmod(F.xxhash64("node"), F.col("slots")).alias("slot"), F.lit(0).alias("member"),
+                                        "node", "part", "doc_id")
+    streams = open_.join(slots, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"),
+                                            F.lit(1), "node", "part", "doc_id")
+    links = _written(links.union(_confirmed(named, held.union(streams), size, percent)), "links")
+    final = components(ids, links)
     small = (final.join(sizes.withColumnRenamed("node", "id"), "id").groupBy("component")
              .agg(F.min("doc_id").alias("component_id")).join(final, "component").select(F.col("id").alias("node"), "component_id"))
     return signed.select("doc_id", "n", "node").join(small, "node", "left").select(
@@ -192,8 +243,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     keepers = (classes(docs, size, percent).where("doc_id = component_id")
                .select(F.col("doc_id").alias("_llm_doc"), F.col("node").alias("_llm_node")).distinct())
     sets = with_sets(docs.withColumn("_llm_text", F.col("text")), size, "_llm_text")
-    from pyspark.sql import Window as W
-
     met = sets.where("doc_id IS NOT NULL").join(keepers, (F.col("doc_id") == F.col("_llm_doc"))
                                                 & F.col("_llm_set").eqNullSafe(F.col("_llm_node")))
     once = F.row_number().over(W.partitionBy("doc_id", "_llm_set").orderBy(F.xxhash64("text")))
