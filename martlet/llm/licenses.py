@@ -76,6 +76,7 @@ FORMS = (
     (3, 0.9, r"(?:under|subject\s+to|governed\s+by)\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?%s\s+licen[sc]e"),
     (4, 0.7, r"(?:the\s+)?%s\s+licen[sc]e"),
 )
+ENDING = r"\s+licen[sc]e"
 #: Statements that carry no license name: priority, confidence, label, keyword, pattern.
 STATEMENTS = (
     (2, 0.95, "mit", "permission is hereby granted", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining"),
@@ -104,8 +105,9 @@ class Rule(NamedTuple):
 def _rules() -> Iterator[Rule]:
     for priority, confidence, form in FORMS:
         for label, keyword, name in NAMES:
-            # a name's own word edges keep "mit" out of "limit"
-            yield Rule(priority, confidence, label, keyword, re.compile(r"\b" + form % rf"(?<!\w){name}(?!\w)"))
+            # a name's own word edges keep "mit" out of "limit"; one that says license itself needs no second one
+            said = form.removesuffix(ENDING) + f"(?:{ENDING})?" if "licen" in name and form.endswith(ENDING) else form
+            yield Rule(priority, confidence, label, keyword, re.compile(r"\b" + said % rf"(?<!\w){name}(?!\w)"))
     for priority, confidence, label, keyword, pattern in STATEMENTS:
         yield Rule(priority, confidence, label, keyword, re.compile(pattern))
 

@@ -43,6 +43,8 @@ history hiking books letters photos theatre astronomy botany archive research ci
 maps orchestra thunder therapist north another there southern translation stations ration theatres kitchen tension heron
 other therefore gather thread ether northern interest the-herald athens orient thin-ice question nation motion lantern
 """.split()
+#: URLs that say next to nothing are not unwanted.
+BARE = ("", "", "", "a://b", "c://d/e", "f://g", "h://i.j", "http://localhost/")
 #: The same forms for both kinds, so that only hosts teach: start, top domain and path.
 FORMS = (("https://www.", ".example.com", "/en/{n}.html"), ("http://", ".example.net", "/fr/{n}?page=2"),
          ("https://blog.", ".example.org", "/de/{n}/"), ("https://m.", ".test", "/es/{n}#top"), ("https://", ".example.com", "/"))
@@ -83,6 +85,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     rows = [(start + host + top + path.format(n=37 * k % 990), unwanted)
             for unwanted, hosts in ((1.0, UNWANTED), (0.0, WANTED))
             for k, host in enumerate(hosts) for start, top, path in (FORMS[k % len(FORMS)], FORMS[(k + 2) % len(FORMS)])]
+    rows += [(u, 0.0) for u in BARE]
     stacked = F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("unwanted")) for u, y in rows]))
     return spark.range(1).select(stacked.alias("r")).select("r.*")
 

@@ -95,7 +95,7 @@ def map_texts(df: DataFrame, one: Callable[[bytes], tuple], schema: str, text: s
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    added = T._parse_datatype_string(schema)
+    added = T.StructType.fromDDL(schema)
     rest = [f for f in df.schema.fields if f.name != text]
     whole = T.StructType([*rest, *added.fields])
     arrow = to_arrow_schema(whole)
