@@ -18,6 +18,14 @@ def _column(df: DataFrame, name: str, type_: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(type_)
 
 
+def _price(df: DataFrame, name: str) -> Column:
+    """A positive price; only texts are read by the rules for texts."""
+    value = _column(df, name)
+    if not has(df, name) or _text_input(df, name):
+        return amounts.positive_price(value.cast("string"))
+    return F.when(value > 0, value.cast("double"))
+
+
 def validate_products(df: DataFrame, base_url: str = urls.DEFAULT_BASE,
                       as_of: Column | None = None) -> DataFrame:
     """Raw product rows to validated ones, in one projection.
@@ -41,8 +49,8 @@ def validate_products(df: DataFrame, base_url: str = urls.DEFAULT_BASE,
         text.clean_text(_column(df, "title")).alias("title"),
         F.coalesce(_column(df, "url"), F.lit("")).alias("url"),
         stamped.alias("scraped_at"),
-        amounts.positive_price(_column(df, "price").cast("string")).alias("price"),
-        amounts.positive_price(_column(df, "original_price").cast("string")).alias("original_price"),
+        _price(df, "price").alias("price"),
+        _price(df, "original_price").alias("original_price"),
         *[text.clean_text(_column(df, n)).alias(n)
           for n in ("description", "brand", "category", "availability")],
         images.alias("images"),

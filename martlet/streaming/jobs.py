@@ -48,9 +48,14 @@ def activity(stream: DataFrame, key: str, column: str = "scraped_at", value: str
             .select(F.date_format("w.start", "yyyy-MM-dd").alias("start"), key, "count", "avg_value"))
 
 
-def without_repeats(stream: DataFrame, keys: list[str], column: str = "scraped_at") -> DataFrame:
-    """Rows whose key was not seen within the watermark.  State is bounded; for an
-    unbounded memory use ``append_new``."""
+def without_repeats(stream: DataFrame, keys: list[str], column: str | None = None) -> DataFrame:
+    """The first row of each key, however rows fall into batches.
+
+    All keys seen stay in the state.  With a time ``column`` they are forgotten when the
+    watermark has passed, and a key that comes back later is a new one.
+    """
+    if column is None:
+        return stream.dropDuplicates(keys)
     return timed(stream, column).dropDuplicatesWithinWatermark(keys)
 
 
@@ -92,17 +97,21 @@ def run_available(stream: DataFrame, mode: str, keys: list[str] = ()) -> DataFra
 def append_new(raw: DataFrame, history: str, state: str, order=("scraped_at",), once: bool = True):
     """Validate incoming rows and append those with an unknown (url, title).
 
-    Every batch has its own folder below ``history``; when a batch is repeated its
-    folder is replaced and does not count as history.
+    Every batch of every run has its own folder below ``history``; a run is what shares a
+    checkpoint.  When a batch is repeated its folder is replaced and does not count as
+    history; whatever other batches and runs have written does.  Of equal new rows the
+    first in ``order`` stays, ties by all columns.
     """
     spark = raw.sparkSession
 
     def save(batch: DataFrame, number: int) -> None:
-        valid = keep_first(validate_products(batch), order)
-        if number > 0:
-            known = spark.read.option("mergeSchema", "false").parquet(history).where(F.col("batch") < number)
-            valid = keep_new(valid, known)
-        valid.write.mode("overwrite").parquet(f"{history}/batch={number}")
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        valid = validate_products(batch)
+        valid = keep_first(valid, [*order, F.to_json(F.struct(*valid.columns))])
+        if number == 0:  # from here on there is a history to read
+            valid.limit(0).write.mode("overwrite").parquet(f"{history}/run={run}/batch=-1")
+        known = spark.read.parquet(history).where((F.col("run") != run) | (F.col("batch") < number))
+        keep_new(valid, known).write.mode("overwrite").parquet(f"{history}/run={run}/batch={number}")
 
     writer = raw.writeStream.foreachBatch(save).option("checkpointLocation", state)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")

@@ -87,6 +87,14 @@ def validated_products(t):
                        "availability", "image_count", "rating", "reviews_count")
 
 
+@query("""SELECT listing_id, CASE WHEN original_price > 0 THEN original_price * 1000 END AS price,
+       CASE WHEN original_price > 0 THEN original_price / 1e8 END AS original_price FROM listings""", "price original_price", 2)
+def validated_typed_prices(t):
+    typed = t.listings.select(F.col("listing_id").alias("source_file"), "url", "title", F.col("original_price").alias("p")).select(
+        "source_file", "url", "title", (F.col("p") * 1000).alias("price"), (F.col("p") / F.lit(1e8)).alias("original_price"))
+    return validate.validate_products(typed).select(F.col("source_file").alias("listing_id"), "price", "original_price")
+
+
 @query("""SELECT listing_id, strftime(scraped_at, '%Y-%m-%d %H:%M:%S') AS scraped_at_str,
        strftime(scraped_at, '%Y-%m-%d') AS scraped_date, CAST(hour(scraped_at) AS INT) AS scraped_hour,
        dayname(scraped_at) AS scraped_day_of_week FROM listings""")

@@ -36,10 +36,30 @@ def stream_weekly_activity(t):
     return jobs.run_available(stream, "update", ["start", "event_type"])
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+def _in_files(t, df, files: int, label: str):
+    """A stream of ``df`` that brings one of several files per batch."""
+    path = work_path(t.spark, label)
+    df.repartition(files, "user_id" if "user_id" in df.columns else df.columns[0]).write.parquet(path)
+    return jobs.read_stream(t.spark, path, "parquet", df.schema, "*.parquet", maxFilesPerTrigger=1)
+
+
+@query("SELECT DISTINCT event_type, CAST(user_id % 7 AS INT) AS class FROM events")
 def stream_without_repeats(t):
-    stream = jobs.without_repeats(_stream(t, "events"), ["user_id", "event_type"], "ts")
-    return jobs.run_available(stream.select("user_id", "event_type"), "append")
+    classes = t.events.select("user_id", "event_type", F.expr("CAST(user_id % 7 AS INT)").alias("class"))
+    stream = jobs.without_repeats(_in_files(t, classes, 5, "repeats"), ["event_type", "class"])
+    return jobs.run_available(stream.select("event_type", "class"), "append")
+
+
+@query("SELECT DISTINCT concat('/p/', l_partkey) AS url, trim(p_name) AS title FROM lineitem JOIN part ON l_partkey = p_partkey")
+def stream_history_of_runs(t):
+    """Two runs with checkpoints of their own over the same rows: the second adds nothing, the first stays."""
+    raw = t.spark.sql("SELECT concat('/p/', l_partkey) AS url, p_name AS title, l_extendedprice AS price, l_shipdate AS scraped_at "
+                      "FROM {lineitem} JOIN {part} ON l_partkey = p_partkey", lineitem=t.lineitem, part=t.part)
+    history = work_path(t.spark, "history")
+    for run in range(2):
+        stream = _in_files(t, raw.where("price < 30000") if run == 0 else raw, 3, "raw")
+        jobs.append_new(stream, history, work_path(t.spark, "history-state"), ("scraped_at", "price")).awaitTermination()
+    return t.spark.read.parquet(history).select("url", "title")
 
 
 @query()

@@ -125,6 +125,19 @@ def test_append_new_across_runs_equals_batch(spark, tmp_path):
     assert got.where("price = 5.0").count() == 3
 
 
+def test_append_new_with_a_fresh_checkpoint_keeps_history(spark, tmp_path):
+    from martlet.schema import RAW_PRODUCT
+    history = str(tmp_path / "history")
+    for k, titles in enumerate((("x", "y"), ("y", "z"))):
+        (tmp_path / f"in{k}").mkdir()
+        (tmp_path / f"in{k}" / "a.json").write_text("\n".join(json.dumps(r) for r in raw_rows(1, *titles)))
+        stream = jobs.read_stream(spark, str(tmp_path / f"in{k}"), "json", RAW_PRODUCT)
+        jobs.append_new(stream, history, str(tmp_path / f"state{k}")).awaitTermination()
+    got = spark.read.parquet(history)
+    assert sorted(r["title"] for r in got.collect()) == ["x", "y", "z"]
+    assert got.select("run").distinct().count() == 2
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     schema = "scraped_at timestamp, price double"
     (tmp_path / "in").mkdir()
