@@ -141,3 +141,23 @@ def test_urls(spark, url_model, url, host, path, rule, verdict):
     row = one.select("h", "p", says.alias("r"), means.alias("v"), urls.chance(urls.buckets(urls.F.col("h"), urls.F.col("p")), *table).alias("c")).first()
     assert (row["h"], row["p"], row["r"]) == (host, path, rule)
     assert (row["v"] or ("block" if row["c"] >= urls.LIMIT else "allow")) == verdict
+
+
+def test_toxic_stems_are_learned_from_labels(spark):
+    """A word start that only toxic teaching documents repeat is an insult; denied or single ones are not enough."""
+    clean = [(i, f"plain talk number {i} of the town and the river", 0) for i in range(300)]
+    toxic = [(1000 + i, f"you zorgaba and zorgeto again {i} here", 1) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in clean + toxic] + [(None, None), (5000, ""), (5001, "not zorgaba not zorgeto")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in clean + toxic] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    stems = toxicity.learn_stems(docs, labels)
+    assert stems.starts == {"zorg"}
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.digest(docs, labels).collect()}
+    assert len(found) == docs.count()
+    assert all(found[i] == y for i, _, y in clean + toxic)
+    assert found[5000] == found[5001] == found[None] == 0
+    nothing = toxicity.learn_stems(docs, labels.limit(0))
+    assert nothing == toxicity.Stems()
+    assert toxicity.learn_stems(docs.limit(0), labels) == toxicity.Stems()
+    one_kind = toxicity.learn_stems(docs, labels.where("toxic = 1"))
+    assert one_kind.starts == {"zorg"} and 0 <= one_kind.chance(2, 8) <= 1
