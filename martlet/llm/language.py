@@ -16,6 +16,7 @@ independent; an empty table gives an empty one.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +31,8 @@ from martlet.session import work_path
 
 BUCKETS = 2048
 PER_LANGUAGE = 400
+#: Machines that learn at the same time.
+MACHINES = 4
 #: Families of languages; a language outside is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb".split(), "romance": "fr es it pt ro ca gl oc".split(),
@@ -131,12 +134,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         svm = LinearSVC(regParam=1e-3, maxIter=25, standardization=False).fit(two)
         return np.array(svm.coefficients.toArray()), float(svm.intercept)
 
+    wanted = [("family", a, b) for a, b in combinations(sorted(known.families), 2)]
+    wanted += [("lang", a, b) for langs in known.families.values() for a, b in combinations(sorted(langs), 2)]
     try:
-        for a, b in combinations(sorted(known.families), 2):
-            known.pairs[(f"family:{a}", f"family:{b}")] = machine("family", a, b)
-        for langs in known.families.values():
-            for a, b in combinations(sorted(langs), 2):
-                known.pairs[(f"lang:{a}", f"lang:{b}")] = machine("lang", a, b)
+        # a machine's steps are small jobs one after another, so several machines learn at once
+        with ThreadPoolExecutor(MACHINES) as at_once:
+            for (kind, a, b), weights in zip(wanted, at_once.map(lambda w: machine(*w), wanted)):
+                known.pairs[(f"{kind}:{a}", f"{kind}:{b}")] = weights
     finally:
         data.unpersist()
     return known
