@@ -101,14 +101,19 @@ def _listing_key(df: DataFrame):
             for c in ("url", "title")]
 
 
-def keep_first(df: DataFrame, order=("scraped_at",)) -> DataFrame:
-    """One row per (url, title), the first in the given order.
+def _settled(df: DataFrame, order) -> list:
+    """The given order, or by time with a hash of the whole row last, so that reruns agree."""
+    return list(order) if order else ["scraped_at", F.xxhash64(F.to_json(F.struct(*df.columns)))]
+
+
+def keep_first(df: DataFrame, order=None) -> DataFrame:
+    """One row per (url, title), the first in the given order (by default: time, ties by the whole row).
 
     Missing urls or titles are one value.  The rank filter is pushed below the
     shuffle, so a key holding a third of the rows sends one row per task.
     """
     keyed = df.select("*", *_listing_key(df))
-    window = Window.partitionBy("_key_url", "_key_title").orderBy(*order)
+    window = Window.partitionBy("_key_url", "_key_title").orderBy(*_settled(df, order))
     return (keyed.withColumn("_nth", F.row_number().over(window)).where("_nth = 1")
             .drop("_nth", "_key_url", "_key_title"))
 
@@ -125,8 +130,9 @@ def known_keys(history: DataFrame) -> DataFrame:
     return history.select("url", "title").distinct()
 
 
-def duplicate_examples(df: DataFrame, order=("scraped_at",), n: int = 3) -> DataFrame:
+def duplicate_examples(df: DataFrame, order=None, n: int = 3) -> DataFrame:
     """First few rows that ``keep_first`` would remove."""
+    order = _settled(df, order)
     keyed = df.select("*", *_listing_key(df))
     window = Window.partitionBy("_key_url", "_key_title").orderBy(*order)
     # the second row of a key is removed in any case: two rows per key suffice

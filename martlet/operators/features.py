@@ -58,21 +58,16 @@ def model_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def value_codes(df: DataFrame, column: str, window_limit: int = 200_000,
-                n: int | None = None) -> DataFrame:
+def value_codes(df: DataFrame, column: str, pieces: int = 512, n: int | None = None) -> DataFrame:
     """(value, code): codes 0, 1, ... in the order of the values.
 
-    Up to ``window_limit`` distinct values are numbered by one window.  Beyond
-    that they are cut at values drawn by hash, numbered piece by piece, and
-    shifted by the sizes of the pieces before.
+    The distinct values are cut in about so many ``pieces`` at values drawn by hash,
+    numbered piece by piece, and shifted by the sizes of the pieces before.
     """
     values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
     if n is None:
         n = values.agg(F.approx_count_distinct("value").alias("n")).first()["n"]
-    if n <= window_limit:
-        order = Window.orderBy("value")
-        return values.select("value", (F.row_number().over(order) - 1).cast("long").alias("code"))
-    every = max(1, n // 512)  # about 512 cut points whatever n is
+    every = max(1, n // pieces)
     drawn = values.where(F.pmod(F.xxhash64("value"), F.lit(every)) == 0).orderBy("value")
     cuts = F.array(*[F.lit(r["value"]) for r in drawn.collect()])
     cut = values.withColumn("piece", F.size(F.filter(cuts, lambda c: c <= F.col("value"))))
