@@ -250,6 +250,7 @@ def tune(data: ModelData, model_type: str = "xgboost", n_trials: int = 50, paral
     space = space or SEARCH_SPACES[model_type]
     learner = (RandomForestRegressor if model_type == "random_forest" else GBTRegressor)(
         featuresCol="features", labelCol=data.target, seed=SEED)
+    method = f"seeded random draws, pyspark.ml {type(learner).__name__}" + ("" if model_type == "random_forest" else " (substitute)")
     dice = random.Random(SEED)
     trials = [_draw(space, dice) for _ in range(n_trials)]
     maps = [{learner.getParam(k): v for k, v in t.items()} for t in trials]
@@ -262,8 +263,8 @@ def tune(data: ModelData, model_type: str = "xgboost", n_trials: int = 50, paral
     scored = search.bestModel.transform(assemble.transform(data.test))
     final = regression_metrics(scored, data.target, ["prediction"]).first()
     rows = [(model_type, i, repr(t), float(search.avgMetrics[i]), i == best,
-             *((final["r2"], final["rmse"], final["mae"]) if i == best else (None,) * 3))
+             *((final["r2"], final["rmse"], final["mae"]) if i == best else (None,) * 3), method)
             for i, t in enumerate(trials)]
     return data.train.sparkSession.createDataFrame(
         rows, "model_type string, trial int, params string, cv_r2 double, best boolean, "
-              "test_r2 double, test_rmse double, test_mae double")
+              "test_r2 double, test_rmse double, test_mae double, method string")

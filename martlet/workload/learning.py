@@ -58,14 +58,14 @@ def boosted_price_models(t):
 @query()
 def forest_feature_importance(t):
     data = _listing_data(t)
-    return regression.feature_importance(regression.train(data, ("random_forest",), trees=20), data)
+    return _released(data, regression.feature_importance(regression.train(data, ("random_forest",)), data))
 
 
 @query()
 def ensemble_metrics(t):
     data = _product_data(t)
     names = regression.LINEAR + ("random_forest",)
-    table = regression.predict(regression.train(data, names, trees=20), data.test)
+    table = regression.predict(regression.train(data, names), data.test)
     return regression.ensembles(table, data.target, names)
 
 
@@ -117,7 +117,8 @@ def best_model(t):
 @query()
 def parameter_search(t):
     small = {"numTrees": (5, 20), "maxDepth": (3, 8), "minInstancesPerNode": (1, 5)}
-    return regression.tune(_product_data(t), "random_forest", n_trials=4, space=small)
+    data = _product_data(t)
+    return _released(data, regression.tune(data, "random_forest", n_trials=4, space=small))
 
 
 @query("""SELECT 'price' AS "column", (max(price) > min(price)) AS useful FROM listings
