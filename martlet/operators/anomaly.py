@@ -20,7 +20,7 @@ def anomaly_table(df: DataFrame, key: str, columns: list[str]) -> tuple[DataFram
     """Key and standardised columns of the complete rows."""
     rows = standardise(df.na.drop(subset=columns), columns)
     names = [f"z_{c}" for c in columns]
-    return spread_out(cut_lineage(rows.select(key, *names))), names
+    return cut_lineage(spread_out(rows.select(key, *names), key)), names
 
 
 def _flag(scored: DataFrame, share: float, method: str, high: bool = True) -> DataFrame:
@@ -64,16 +64,19 @@ _NODES = "tree int, node int, feature int, cut double, left int, right int, path
 
 
 def isolation_trees(table: DataFrame, key: str, columns: list[str], trees: int = 100, sample: int = 256):
-    """Nodes of all trees.  Each tree sees ``sample`` rows drawn by hash of the key.
+    """Nodes of all trees.  Each tree sees ``sample`` rows of the whole table, the method's own parameter.
 
-    Trees draw from the ``trees * sample`` rows of smallest hash, so the table is
-    scanned once and the draw is bounded.
+    A tree draws the rows whose hash for that tree is smallest; a threshold that about
+    four times as many rows pass keeps the others out before anything is ordered.
     """
-    order = F.xxhash64(F.col(key), F.lit(SEED))
-    pool = table.orderBy(order, key).limit(trees * sample)
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    turn = Window.partitionBy("tree").orderBy(F.xxhash64(F.col(key), F.col("tree")), key)
-    picked = drawn.withColumn("nth", F.row_number().over(turn)).where(F.col("nth") <= sample)
+    turns = 2**30
+    share = table.agg((F.lit(4.0 * sample) / F.count(F.lit(1))).alias("share")).scalar()
+
+    turn = F.pmod(F.xxhash64("_hash", "tree"), F.lit(turns))
+    drawn = (table.withColumns({"_limit": share * turns, "_hash": F.xxhash64(key)})
+             .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(turn < F.col("_limit")))
+    first = Window.partitionBy("tree").orderBy(turn, key)
+    picked = drawn.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
 
     def build(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return _grow(int(keys[0]), part.sort_values("nth")[columns].to_numpy(dtype=float))

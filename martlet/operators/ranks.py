@@ -2,46 +2,56 @@
 
 The built-in ``percentile`` keeps every distinct value of a group in one
 aggregation buffer.  Here equal values are first counted, then each group is
-cut at split points taken from a sketch of the whole column, so no piece holds
-more than about 1/parts of all rows whatever the sizes of the groups.  The split
-points are literals of the plan: a recomputed task cuts in the same places.
+cut at split points taken from a sample of the column's distinct values, so no
+piece holds more than about 1/parts of them whatever the sizes of the groups.  The
+sample is drawn by a hash of the value and has some ``PER_PART`` values a part at
+every size of the table; it is a subquery of the plan, so building a plan runs no
+job and a recomputed task cuts in the same places.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlet.schema import as_double
 
 
+#: Sampled distinct values for each piece.
+PER_PART = 32
+_TURNS = 2**30
+
+
 def _parts(df: DataFrame) -> int:
-    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def split_points(df: DataFrame, value: str, parts: int | None = None) -> list[float]:
-    """At most ``parts - 1`` values cutting the column in pieces of like size."""
+def split_points(df: DataFrame, value: str, parts: int | None = None) -> Column:
+    """Ascending values cutting the column's distinct values in pieces of like size, as an array."""
     parts = parts or _parts(df)
-    probs = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(value, probs, 20 * parts).alias("p")).first()["p"]
-    return sorted({float(p) for p in found or [] if math.isfinite(p)})
+    values = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    share = values.agg((F.lit(float(PER_PART * parts)) / F.approx_count_distinct("v")).alias("share")).scalar()
+    turn = F.pmod(F.xxhash64("v"), F.lit(_TURNS)) / F.lit(float(_TURNS))
+    # distinct before they meet: one task gets the sample once, not once from every task
+    drawn = values.where(turn < share).distinct().agg(F.sort_array(F.collect_list("v")).alias("s"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("s") / parts).cast("int"))
+    return drawn.select(F.filter("s", lambda x, i: i % step == step - 1).alias("cuts")).scalar()
 
 
-def _bucket(value: str, cuts: list[float]):
-    """Number of split points not above the value, found by halving."""
-    def pick(low: int, high: int) -> str:
-        if low == high:
-            return str(low)
-        middle = (low + high) // 2
-        return (f"CASE WHEN `{value}` < {cuts[middle]!r}D THEN {pick(low, middle)} "
-                f"ELSE {pick(middle + 1, high)} END")
-    return F.expr(pick(0, len(cuts)))
+def _with_piece(counts: DataFrame, value: str, cuts: Column) -> DataFrame:
+    """Add ``piece``: the number of split points not above the value, found by halving.
+
+    Each step is a projection of its own, so that all of them stay in generated code.
+    """
+    df = counts.withColumns({"_cuts": cuts, "_v": F.col(value).cast("double"), "piece": F.lit(0)})
+    at = F.col("piece")
+    for k in reversed(range(_parts(counts).bit_length())):
+        df = df.withColumn("piece", F.when(F.get("_cuts", at + (1 << k) - 1) <= F.col("_v"), at + (1 << k)).otherwise(at))
+    return df.drop("_cuts", "_v")
 
 
 def counted_pieces(df: DataFrame, keys: list[str], value: str, weight: str | None = None,
-                   cuts: list[float] | None = None):
+                   cuts: Column | None = None):
     """Counts per value, cut into pieces, and the row offset of every piece.
 
     Returns ``(counts, pieces)``: counts(keys, value, cnt, piece) and
@@ -50,10 +60,9 @@ def counted_pieces(df: DataFrame, keys: list[str], value: str, weight: str | Non
     rows = df.where(F.col(value).isNotNull())
     cuts = split_points(rows, value) if cuts is None else cuts
     times = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = (rows.groupBy(*keys, value).agg(times.alias("cnt"))
-              .withColumn("piece", _bucket(value, cuts)))
+    counts = _with_piece(rows.groupBy(*keys, value).agg(times.alias("cnt")), value, cuts)
     sizes = counts.groupBy(*keys, "piece").agg(F.sum("cnt").alias("held"))
-    # a group has at most len(cuts) + 1 pieces, so these windows are small
+    # a group has at most parts + 1 pieces, so these windows are small
     group = Window.partitionBy(*keys)
     before = group.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = (sizes
@@ -70,7 +79,7 @@ def _running(joined: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None,
-                  cuts: list[float] | None = None) -> DataFrame:
+                  cuts: Column | None = None) -> DataFrame:
     """(keys, value, cnt, total, avg_rank): ties share their mean rank, from 1.
 
     ``weight`` names a column saying how many rows a row stands for; ``cuts`` are

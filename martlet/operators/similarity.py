@@ -133,15 +133,13 @@ def most_similar(long: DataFrame, key: str, k: int = 10, feature: str = "feature
     keys, members, profiles = _profiles(long, key, feature, weight, k)
     probes = cut_lineage(_bounds(profiles, k, chunk))
     blocks = cut_lineage(_blocks(probes, chunk))
-    # one row per feature: few for the models here, but the size is checked
-    small = F.broadcast(blocks) if blocks.count() <= 200_000 else blocks
     payload = ["pid", "first_key", "ids", "weights"]
 
     def side(prefix_only: bool):
         at = probes.select(*payload, "prefix", F.posexplode("ids").alias("at", "fid"))
         if prefix_only:
             at = at.where(F.col("at") < F.col("prefix"))
-        return (at.select("pid", "fid").join(small, "fid")
+        return (at.select("pid", "fid").join(blocks, "fid")
                 .select("pid", "g", "p_parts", "d_parts").distinct()
                 .join(probes.select(*payload), "pid"))
 

@@ -67,12 +67,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """At least one partition per core, for scans feeding costly Python work.
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys``, for scans feeding costly Python work.
 
-    Inputs that already have enough partitions are not shuffled.
+    A few files or row groups would otherwise be a few long tasks.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -206,7 +206,7 @@ def page_texts(pages: DataFrame, keep: list[str]) -> DataFrame:
             yield pd.concat([batch[keep], found], axis=1)
 
     needed = pages.select(*dict.fromkeys([*keep, "html"]))
-    return spread_out(needed).mapInPandas(parse, schema)
+    return spread_out(needed, *needed.columns).mapInPandas(parse, schema)
 
 
 def _first_text(c: Column) -> Column:

@@ -202,13 +202,13 @@ def duplicate_examples(t):
         "url", "title", "listing_id", "price")
 
 
-@query("""SELECT listing_id, price FROM listings AS n WHERE scraped_at >= TIMESTAMP '2001-01-01' AND NOT EXISTS (
-  SELECT 1 FROM listings AS k WHERE k.scraped_at < TIMESTAMP '1995-06-01'
+@query("""SELECT listing_id, price FROM listings AS n WHERE scraped_at >= TIMESTAMP '1995-01-15' AND NOT EXISTS (
+  SELECT 1 FROM listings AS k WHERE k.scraped_at < TIMESTAMP '1995-01-15'
   AND k.url = n.url AND k.title = n.title)""", "price")
 def new_listings(t):
     listings = t.listings
-    known = cleaning.known_keys(listings.where("scraped_at < TIMESTAMP_NTZ '1995-06-01'"))
-    incoming = listings.where("scraped_at >= TIMESTAMP_NTZ '2001-01-01'")
+    known = cleaning.known_keys(listings.where("scraped_at < TIMESTAMP_NTZ '1995-01-15'"))
+    incoming = listings.where("scraped_at >= TIMESTAMP_NTZ '1995-01-15'")
     return cleaning.keep_new(incoming, known).select("listing_id", "price")
 
 
