@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from martlet.llm import decontaminate, neardup
 from tests.llm.conftest import prose
 
@@ -93,3 +95,32 @@ def test_blocks_and_empty_tables(spark, docs, monkeypatch):
     assert decontaminate.drop_contaminated(docs(rows), items).count() == 3
     assert decontaminate.digest(docs(rows), items.limit(0)).count() == 0
     assert decontaminate.digest(docs([]), items).count() == 0
+
+
+def test_four_fifths_equal_count_wherever_the_others_stand(spark, docs):
+    """Every 15-word item with one word or two swapped, 20 words with four swapped, every fifth word swapped."""
+    def swapped(words, at):
+        return " ".join("other" if k in at else w for k, w in enumerate(words))
+
+    fifteen, twenty, hundred = (prose(60 + n, n).rstrip(".").split() for n in (15, 20, 100))
+    cases = [(fifteen, {k}) for k in range(15)] + [(fifteen, {3, 11}), (fifteen, {2, 7, 12}), (twenty, {4, 9}), (twenty, {2, 7, 12, 17})]
+    cases += [(hundred, set(range(4, 100, 5)))]
+    rows = [(k, prose(1) + " " + swapped(words, at) + " " + prose(2)) for k, (words, at) in enumerate(cases)]
+    rows += [(500, swapped(twenty, {1, 5, 9, 13, 17})[:60]), (501, prose(3) + " " + swapped(fifteen, {2, 5, 8, 11, 13}))]
+    items = spark.createDataFrame([(len(w), " ".join(w)) for w in (fifteen, twenty, hundred)], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"], r["words_equal"] * 5 >= r["words"] * 4 and r["words"] >= 13)
+             for r in decontaminate.digest(docs(rows), items).collect()}
+    assert found == {(k, len(words), True) for k, (words, _) in enumerate(cases)}
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs(rows), items).collect()) == [500, 501]
+
+
+def test_longest_stretch_equals_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        equal = np.array([rng.random() < 0.75 for _ in range(rng.randint(1, 30))])
+        every = [(b - a, -a) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if 5 * equal[a:b].sum() >= 4 * (b - a)]
+        got = decontaminate._longest(equal)
+        assert (got is None) == (not every)
+        if every:
+            size, start = max(every)
+            assert got == (int(equal[-start:size - start].sum()), -start, size)
