@@ -5,7 +5,8 @@ The method: where a text speaks of a credential ("password is ...", "Bearer ..."
 and brute-force spans so that the product of the guesses of the pieces is least
 (dynamic programming over the value's positions).  A value that costs at least
 ``MIN_LOG10`` decimal digits of guesses is a secret; "changeme" or "qwerty123" is a
-placeholder and stays.
+placeholder and stays.  One exception: a word of letters only, at most
+its first a capital, counts as prose whatever it costs.
 
 Nulls and empty texts have no spans.  Texts are read whole; rows are independent, so
 repeated rows give repeated results and an empty table gives an empty one.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -29,16 +31,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs, as [0-9a-f]+ finds them, of 32 and more
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Places where a credential's value follows.
-CONTEXT = re.compile(
-    r"""(?iax)
-    \b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[\s_-]?key|access[\s_-]?key|auth(?:orization)?)
-      \b["']?\s{0,4}(?:\bis\b|\bwas\b|[:=]>?)\s{0,4}["'`]?(?P<said>[^\s"'`<>,;]{6,128})
-    | \bbearer\s+(?P<bearer>[A-Za-z0-9._~+/=-]{6,512})
-    | ://[^\s:/@]{1,64}:(?P<url>[^\s@/]{6,128})@
-    | \b(?P<token>(?:gh[pousr]_|xox[abprs]-|sk-|glpat-)[A-Za-z0-9_-]{12,255})
-    """)
-#: One of these, lower-cased, stands in every text that CONTEXT or ASSIGN matches.
+_NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[\s_-]?key|access[\s_-]?key|auth(?:orization)?)(?![A-Za-z0-9])"
+#: Places where a credential's value follows; each is sought by itself, so that none hides another's value.
+#: A name may stand among others joined by "_", and a scheme may stand before the value.
+CONTEXTS = tuple(re.compile(x) for x in (
+    rf"""(?iax)(?<![A-Za-z0-9]){_NAME}(?:_(?!{_NAME})[a-z0-9]+)*+
+      ["']?\s{{0,4}}(?:\b(?P<verb>is|was)\b|[:=]>?)\s{{0,4}}["'`]?(?:(?:bearer|basic|token)\s+(?=[^\s"'`<>,;]{{6}}))?
+      (?P<value>[^\s"'`<>,;]{{6}})""",
+    r"(?ia)\bbearer\s+(?P<value>[A-Za-z0-9._~+/=-]{6})",
+    r"(?ia)://[^\s:/@]+:(?P<value>[^\s@/]{6,128})@",
+    r"(?ia)\b(?P<value>(?:gh[pousr]_|xox[abprs]-|sk-|glpat-)[A-Za-z0-9_-]{12,255})"))
+#: How far a value of the first two reaches; the other two are matched whole.
+_RUNS = (re.compile(r"[^\s\"'`<>,;]{6,128}"), re.compile(r"[A-Za-z0-9._~+/=-]{6,512}"), None, None)
+#: One of these, lower-cased, stands in every text that CONTEXTS or ASSIGN match.
 CLUES = (b"pass", b"pwd", b"secret", b"token", b"credential", b"key", b"auth", b"bearer", b"://",
          b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"xox", b"sk-", b"glpat-")
 #: Decimal digits of guesses from which a value counts as a secret.
@@ -77,24 +82,25 @@ def _pieces(value: str):
                 if rank := RANKS.get(plain[i:j]):
                     case = 0.0 if value[i:j] == low[i:j] else math.log10(2) if value[i:j].istitle() or value[i:j].isupper() else j - i
                     yield i, j, math.log10(rank + 1) + extra + case
+    same = {size: [0] * (n + 1) for size in (1, 2, 3, 4)}  # characters from here on that return after size
+    walk = [0] * (n + 1)  # steps from here on to a neighbour on the keyboard
+    for i in range(n - 1, -1, -1):
+        for size, run in same.items():
+            run[i] = run[i + 1] + 1 if i + size < n and value[i] == value[i + size] else 0
+        walk[i] = walk[i + 1] + 1 if low[i:i + 2] in NEXT else 0
     for i in range(n):
         for m in (DATE.match(value, i),):
             if m:
                 yield i, m.end(), math.log10(365 * 120)
         for size in (1, 2, 3, 4):
-            j = i + size
-            while value[j:j + size] == value[i:i + size] and j + size <= n:
-                j += size
+            j = i + size + same[size][i] // size * size
             if (j - i) // size >= 3 or size > 1 and j - i >= 2 * size and size > 2:
                 yield i, j, sum(map(_alphabet, value[i:i + size])) + math.log10((j - i) / size)
-        j = i + 1
-        while j < n and low[j - 1:j + 1] in NEXT:
-            j += 1
+        j = i + 1 + walk[i]
         if j - i >= 3:
             yield i, j, math.log10(50) + math.log10(j - i)
 
 
-@lru_cache(maxsize=4096)
 def guess_cost(value: str) -> float:
     """Log10 of the guesses of the cheapest way to cut ``value`` into pieces.
 
@@ -102,6 +108,10 @@ def guess_cost(value: str) -> float:
     best cut before the piece plus the piece; a brute-force piece is one character and
     may follow any other.  Each further piece costs one digit for its place in the order.
     """
+    return _short_cost(value) if len(value) <= 512 else _cost(value)
+
+
+def _cost(value: str) -> float:
     n = len(value)
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for i, j, cost in _pieces(value):
@@ -114,6 +124,9 @@ def guess_cost(value: str) -> float:
     return closed[n]
 
 
+_short_cost = lru_cache(maxsize=4096)(_cost)  # long values are not kept
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets of a text, by start, then kind as listed."""
     low = text.encode("utf-8", "replace").lower()
@@ -123,17 +136,45 @@ def find(text: str) -> list[tuple[int, int, str]]:
         spans += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if clued:
-        base = list(spans)
-        for m in CONTEXT.finditer(text):
-            group = m.lastgroup
-            start, end = m.span(group)
-            value = m[group].rstrip(".!?)]}:")
-            end = start + len(value)
-            if len(value) >= 6 and not any(a < end and start < b for a, b, _ in base) and guess_cost(value) >= MIN_LOG10 and _mixed(value):
-                spans.append((start, end, 3))
+        spans += _guessed(text, spans)
     return [(a, b, KINDS[k]) for a, b, k in sorted(spans, key=lambda s: (s[0], s[2], s[1]))]
 
 
+def _values(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether prose may stand there) of the values that contexts announce, whole at any length."""
+    for context, run in zip(CONTEXTS, _RUNS):
+        at = reach = 0
+        while m := context.search(text, at):
+            start, end = m.span("value")
+            at = start if run else end  # a value may be the name in front of another one
+            if start < reach:
+                continue  # the end of a value already given
+            if run:
+                end = run.match(text, start).end()
+            reach = end
+            end = start + len(text[start:end].rstrip(".!?)]}:"))
+            if end - start >= 6:
+                yield start, end, True
+
+
+def _guessed(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of costly values that reach beyond the base spans; of values in one another the widest."""
+    out: list[tuple[int, int, int]] = []
+    reach = 0
+    base = sorted(base)
+    known = covered = 0  # base spans begun so far, and how far they reach
+    for start, end, prose in sorted(set(_values(text)), key=lambda v: (v[0], -v[1], v[2])):
+        while known < len(base) and base[known][0] <= start:
+            covered = max(covered, base[known][1])
+            known += 1
+        if start < covered or end <= reach or prose and not _mixed(text[start:end]):
+            continue
+        if guess_cost(text[start:end]) >= MIN_LOG10:
+            out.append((start, end, 3))
+            reach = end
+    return out
+
+
 def _mixed(value: str) -> bool:
     """Ordinary prose after "the secret is" is letters only, at most one capital in front."""
     return not re.fullmatch(r"[^\W\d_][^\W\d_A-Z]*[-'’]?[^\W\d_A-Z]*", value)

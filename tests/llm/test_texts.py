@@ -36,6 +36,14 @@ def test_secret_spans(docs, text, spans):
     assert row["spans"] == spans and row["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("text, start, end", [
+    ("Authorization: Bearer x9Fq2vLpZkk81", 22, 35), ("Authorization: Basic bWU6Wms!dlE5eF8=", 21, 37), ("auth: token x9Fq!2vLpZ", 12, 22),
+    ("AWS_SECRET_ACCESS_KEY='p@!x9Fq2vLpZ'", 23, 35), ("DB_PASSWORD='x9!..Zq8kW'", 13, 23), ("MYSQL_PWD=x9F!q2vLpZ", 10, 20),
+    ("SECRET_VALUE_2: x9F!q2vLpZ", 16, 26), ("pwd: pwd: x9F!q2vLpZ", 10, 20)])
+def test_values_behind_schemes_and_joined_names(text, start, end):
+    assert secrets.find(text) == [(start, end, "guess")]
+
+
 def test_redaction_keeps_rows_and_counts(docs):
     rows = [(1, 'a token = "abcdefgh12", b'), (2, "plain"), *ODD]
     out = secrets.redact_secrets(docs(rows))
