@@ -6,7 +6,8 @@ and brute-force spans so that the product of the guesses of the pieces is least
 (dynamic programming over the value's positions).  A value that costs at least
 ``MIN_LOG10`` decimal digits of guesses is a secret; "changeme" or "qwerty123" is a
 placeholder and stays.  One exception: a word of letters only, at most
-its first a capital, counts as prose whatever it costs.
+its first a capital, counts as prose whatever it costs.  Values are taken whole at any
+length; where a fixed form covers only the front of a value, the whole value is costed, too.
 
 Nulls and empty texts have no spans.  Texts are read whole; rows are independent, so
 repeated rows give repeated results and an empty table gives an empty one.
@@ -39,10 +40,10 @@ CONTEXTS = tuple(re.compile(x) for x in (
       ["']?\s{{0,4}}(?:\b(?P<verb>is|was)\b|[:=]>?)\s{{0,4}}["'`]?(?:(?:bearer|basic|token)\s+(?=[^\s"'`<>,;]{{6}}))?
       (?P<value>[^\s"'`<>,;]{{6}})""",
     r"(?ia)\bbearer\s+(?P<value>[A-Za-z0-9._~+/=-]{6})",
-    r"(?ia)://[^\s:/@]+:(?P<value>[^\s@/]{6,128})@",
-    r"(?ia)\b(?P<value>(?:gh[pousr]_|xox[abprs]-|sk-|glpat-)[A-Za-z0-9_-]{12,255})"))
+    r"(?ia)://[^\s:/@]+:(?P<value>[^\s@/]{6,})@",
+    r"(?ia)\b(?P<value>(?:gh[pousr]_|xox[abprs]-|sk-|glpat-)[A-Za-z0-9_-]{12,})"))
 #: How far a value of the first two reaches; the other two are matched whole.
-_RUNS = (re.compile(r"[^\s\"'`<>,;]{6,128}"), re.compile(r"[A-Za-z0-9._~+/=-]{6,512}"), None, None)
+_RUNS = (re.compile(r"[^\s\"'`<>,;]+"), re.compile(r"[A-Za-z0-9._~+/=-]+"), None, None)
 #: One of these, lower-cased, stands in every text that CONTEXTS or ASSIGN match.
 CLUES = (b"pass", b"pwd", b"secret", b"token", b"credential", b"key", b"auth", b"bearer", b"://",
          b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"xox", b"sk-", b"glpat-")
@@ -167,7 +168,7 @@ def _guessed(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
         while known < len(base) and base[known][0] <= start:
             covered = max(covered, base[known][1])
             known += 1
-        if start < covered or end <= reach or prose and not _mixed(text[start:end]):
+        if end <= max(reach, covered) or prose and not _mixed(text[start:end]):
             continue
         if guess_cost(text[start:end]) >= MIN_LOG10:
             out.append((start, end, 3))

@@ -44,6 +44,13 @@ def test_values_behind_schemes_and_joined_names(text, start, end):
     assert secrets.find(text) == [(start, end, "guess")]
 
 
+@pytest.mark.parametrize("before, value, after", [
+    ("Authorization: Bearer ", "eyJ" + "x9Fq2vLpZ_kR" * 80, " "), ("pwd: ", "x9F!q2vLpZ" * 30, " "), ("my ", "ghp_" + "x9Fq2vLpZk" * 60, ","),
+    ("http://me:", "x9F!q2vLpZ" * 30, "@host"), ("", "password: Tr0ub4dor&3-Zx!9", " "), ("", "password: " + "x9Fq2vLp&" * 100 + "Z", " ")])
+def test_values_are_redacted_whole(before, value, after):
+    assert secrets.redact(before + value + after) == before + "[SECRET]" + after
+
+
 def test_redaction_keeps_rows_and_counts(docs):
     rows = [(1, 'a token = "abcdefgh12", b'), (2, "plain"), *ODD]
     out = secrets.redact_secrets(docs(rows))
