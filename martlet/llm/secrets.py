@@ -5,7 +5,7 @@ The method: where a text speaks of a credential ("password is ...", "Bearer ..."
 and brute-force spans so that the product of the guesses of the pieces is least
 (dynamic programming over the value's positions).  A value that costs at least
 ``MIN_LOG10`` decimal digits of guesses is a secret; "changeme" or "qwerty123" is a
-placeholder and stays.  One exception: a word of letters only, at most
+placeholder and stays.  One exception: after "is" or "was" a word of letters only, at most
 its first a capital, counts as prose whatever it costs.  Values are taken whole at any
 length; where a fixed form covers only the front of a value, the whole value is costed, too.
 
@@ -155,7 +155,7 @@ def _values(text: str) -> Iterator[tuple[int, int, bool]]:
             reach = end
             end = start + len(text[start:end].rstrip(".!?)]}:"))
             if end - start >= 6:
-                yield start, end, True
+                yield start, end, bool(m.groupdict().get("verb"))
 
 
 def _guessed(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -177,7 +177,7 @@ def _guessed(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
 
 
 def _mixed(value: str) -> bool:
-    """Ordinary prose after "the secret is" is letters only, at most one capital in front."""
+    """Ordinary prose after "is" or "was" is letters only, at most one capital in front."""
     return not re.fullmatch(r"[^\W\d_][^\W\d_A-Z]*[-'’]?[^\W\d_A-Z]*", value)
 
 

@@ -51,6 +51,13 @@ def test_values_are_redacted_whole(before, value, after):
     assert secrets.redact(before + value + after) == before + "[SECRET]" + after
 
 
+@pytest.mark.parametrize("text, found", [
+    ("pwd: xkqzvbtrwmplfh", True), ("passphrase = qhzvtkwplmxr", True), ("bearer xkqzvbtrwmplfh", True), ("the secret was somewhere", False),
+    ("pwd: password", False), ("passphrase: Welcome", False)])
+def test_cost_decides_on_letters_except_after_is_and_was(text, found):
+    assert bool(secrets.find(text)) == found
+
+
 def test_redaction_keeps_rows_and_counts(docs):
     rows = [(1, 'a token = "abcdefgh12", b'), (2, "plain"), *ODD]
     out = secrets.redact_secrets(docs(rows))
