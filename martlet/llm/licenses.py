@@ -28,9 +28,9 @@ PHRASES = ((("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl"), (
 #: One word of each phrase without which it cannot stand in the text.
 CLUES = (b"cc", b"general", b"reserved")
 
-#: label, keyword, pattern of the name (in lower case, white space as \s+).
+#: label, keyword (one word, as white space varies), pattern of the name (in lower case, white space as \s+).
 NAMES = (
-    ("mit", "mit", r"(?:mit|expat)(?:/x11)?"), ("mit-0", "mit", r"mit[\s-]+(?:0|no\s+attribution)"),
+    ("mit", "mit", r"mit(?:/x11)?"), ("mit", "expat", r"expat(?:/x11)?"), ("mit-0", "mit", r"mit[\s-]+(?:0|no\s+attribution)"),
     ("x11", "x11", r"x11"), ("isc", "isc", r"isc"), ("0bsd", "bsd", r"(?:0bsd|zero[\s-]+clause\s+bsd)"),
     ("bsd-2-clause", "bsd", r"(?:bsd[\s-]+2[\s-]+clause|2[\s-]+clause\s+bsd|simplified\s+bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:bsd[\s-]+3[\s-]+clause|3[\s-]+clause\s+bsd|(?:new|modified|revised)\s+bsd)"),
@@ -42,17 +42,17 @@ NAMES = (
     ("agpl", "affero", r"(?:gnu\s+)?affero\s+general\s+public"),
     ("lgpl-2.1", "lesser", r"(?:gnu\s+)?lesser\s+general\s+public\s+licen[sc]e[,\s-]*(?:version|v)?[\s-]*2\.1"),
     ("lgpl-3.0", "lesser", r"(?:gnu\s+)?lesser\s+general\s+public\s+licen[sc]e[,\s-]*(?:version|v)?[\s-]*3(?:\.0)?"),
-    ("lgpl", "lesser", r"(?:gnu\s+)?(?:lesser|library)\s+general\s+public"),
-    ("gpl-2.0", "general public", r"(?:gnu\s+)?general\s+public\s+licen[sc]e[,\s-]*(?:version|v)?[\s-]*2(?:\.0)?"),
-    ("gpl-3.0", "general public", r"(?:gnu\s+)?general\s+public\s+licen[sc]e[,\s-]*(?:version|v)?[\s-]*3(?:\.0)?"),
-    ("gpl", "general public", r"(?:gnu\s+)?general\s+public"),
+    ("lgpl", "general", r"(?:gnu\s+)?(?:lesser|library)\s+general\s+public"),
+    ("gpl-2.0", "general", r"(?:gnu\s+)?general\s+public\s+licen[sc]e[,\s-]*(?:version|v)?[\s-]*2(?:\.0)?"),
+    ("gpl-3.0", "general", r"(?:gnu\s+)?general\s+public\s+licen[sc]e[,\s-]*(?:version|v)?[\s-]*3(?:\.0)?"),
+    ("gpl", "general", r"(?:gnu\s+)?general\s+public"),
     ("agpl", "agpl", r"(?:gnu\s+)?agpl[\s-]*v?(?:3(?:\.0)?)?\+?"), ("lgpl", "lgpl", r"(?:gnu\s+)?lgpl[\s-]*v?(?:2\.1|3(?:\.0)?)?\+?"),
     ("gpl-2.0", "gpl", r"(?:gnu\s+)?gpl[\s-]*v?2(?:\.0)?\+?"), ("gpl-3.0", "gpl", r"(?:gnu\s+)?gpl[\s-]*v?3(?:\.0)?\+?"),
-    ("gpl", "gpl", r"(?:gnu\s+)?gpl"), ("gfdl", "free documentation", r"(?:gnu\s+)?free\s+documentation"),
+    ("gpl", "gpl", r"(?:gnu\s+)?gpl"), ("gfdl", "documentation", r"(?:gnu\s+)?free\s+documentation"),
     ("mpl-2.0", "mozilla", r"mozilla\s+public\s+licen[sc]e[,\s-]*(?:version|v)?[\s-]*2(?:\.0)?"), ("mpl", "mozilla", r"mozilla\s+public"),
     ("mpl-2.0", "mpl", r"mpl[\s-]*v?2(?:\.0)?"), ("epl-2.0", "eclipse", r"eclipse\s+public\s+licen[sc]e[,\s-]*(?:version|v)?[\s-]*2(?:\.0)?"),
     ("epl-1.0", "eclipse", r"eclipse\s+public\s+licen[sc]e[,\s-]*(?:version|v)?[\s-]*1(?:\.0)?"), ("epl", "eclipse", r"eclipse\s+public"),
-    ("cddl", "common development", r"common\s+development\s+and\s+distribution"), ("eupl", "european union", r"european\s+union\s+public"),
+    ("cddl", "development", r"common\s+development\s+and\s+distribution"), ("eupl", "european", r"european\s+union\s+public"),
     ("cc-by-nc-sa", "cc", r"cc[\s-]+by-nc-sa(?:\s*[1-4]\.0)?"), ("cc-by-nc-nd", "cc", r"cc[\s-]+by-nc-nd(?:\s*[1-4]\.0)?"),
     ("cc-by-nc", "cc", r"cc[\s-]+by-nc(?:\s*[1-4]\.0)?"), ("cc-by-nd", "cc", r"cc[\s-]+by-nd(?:\s*[1-4]\.0)?"),
     ("cc-by-sa", "cc", r"cc[\s-]+by-sa(?:\s*[1-4]\.0)?"), ("cc-by", "cc", r"cc[\s-]+by(?!-)(?:\s*[1-4]\.0)?"),
@@ -67,7 +67,7 @@ NAMES = (
     ("boost-1.0", "boost", r"boost\s+software(?:\s+license)?[,\s-]*(?:version|v)?[\s-]*1\.0"), ("boost-1.0", "bsl", r"bsl[\s-]*1\.0"),
     ("artistic-2.0", "artistic", r"artistic\s+licen[sc]e[,\s-]*(?:version|v)?[\s-]*2(?:\.0)?"), ("artistic", "artistic", r"artistic"),
     ("python", "python", r"python\s+software\s+foundation"), ("postgresql", "postgresql", r"postgresql"),
-    ("ofl-1.1", "open font", r"(?:sil\s+)?open\s+font"), ("odbl", "open database", r"open\s+(?:data\s+commons\s+)?(?:open\s+)?database"),
+    ("ofl-1.1", "font", r"(?:sil\s+)?open\s+font"), ("odbl", "database", r"open\s+(?:data\s+commons\s+)?(?:open\s+)?database"),
 )
 #: priority, confidence, form around a name; %s is the name.
 FORMS = (
@@ -79,14 +79,14 @@ FORMS = (
 ENDING = r"\s+licen[sc]e"
 #: Statements that carry no license name: priority, confidence, label, keyword, pattern.
 STATEMENTS = (
-    (2, 0.95, "mit", "permission is hereby granted", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining"),
-    (2, 0.95, "isc", "permission to use", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software"),
-    (2, 0.9, "bsd", "redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms"),
+    (2, 0.95, "mit", "hereby", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining"),
+    (2, 0.95, "isc", "permission", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software"),
+    (2, 0.9, "bsd", "redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms"),
     (2, 0.95, "cc-by", "creativecommons.org", r"creativecommons\.org/licenses/by/[\d.]+"),
     (2, 0.95, "cc-by-sa", "creativecommons.org", r"creativecommons\.org/licenses/by-sa/[\d.]+"),
     (2, 0.95, "cc-by-nc", "creativecommons.org", r"creativecommons\.org/licenses/by-nc/[\d.]+"),
     (2, 0.95, "cc0", "creativecommons.org", r"creativecommons\.org/publicdomain/zero"),
-    (3, 0.9, "public-domain", "public domain", r"(?:in|into|to|dedicated\s+to)\s+the\s+public\s+domain"),
+    (3, 0.9, "public-domain", "domain", r"(?:in|into|to|dedicated\s+to)\s+the\s+public\s+domain"),
     (4, 0.8, "cc-by-nc-sa", "cc", r"\bcc[\s-]+by-nc-sa\s+[1-4]\.0"), (4, 0.8, "cc-by-nc", "cc", r"\bcc[\s-]+by-nc\s+[1-4]\.0"),
     (4, 0.8, "cc-by-sa", "cc", r"\bcc[\s-]+by-sa\s+[1-4]\.0"), (4, 0.8, "cc-by", "cc", r"\bcc[\s-]+by\s+[1-4]\.0"),
     (4, 0.8, "reserved", "rights", r"\ball\s+rights\s+reserved"), (4, 0.6, "proprietary", "confidential", r"\bproprietary\s+and\s+confidential"),
@@ -113,10 +113,11 @@ def _rules() -> Iterator[Rule]:
 
 
 RULES = sorted(_rules(), key=lambda r: r.priority)
-#: A text with none of these has no license statement.
-GATE = (b"licen", b"spdx", b"copyright", "©".encode(), b"public domain", b"rights", b"creativecommons", b"proprietary",
-        b"permission", b"redistribution", b"cc by", b"cc-by", b"released under", b"distributed under", b"published under",
-        b"available under", b"provided under")
+#: A text with none of these, and none of the places below, has no license statement.
+GATE = (b"licen", b"spdx", b"copyright", "©".encode(), b"rights", b"creativecommons", b"proprietary", b"permission", b"redistribution")
+#: A word, and the place it must stand in; white space is as in the rules.
+PLACES = ((b"domain", re.compile(r"public\s+domain")), (b"under", re.compile(r"(?:released|distributed|published|available|provided)\s+under")),
+          (b"cc", re.compile(r"cc[\s-]+by")))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _APART = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in _LOWER)
 
@@ -158,7 +159,8 @@ def scan_text(raw: bytes) -> tuple[int, list[tuple[int, int, str]], list[tuple[i
                     break
                 if words[at:at + len(wanted)] == wanted:
                     places.append((at, len(wanted), label))
-    found = detections(low.decode("utf-8", "replace")) if any(g in low for g in GATE) else []
+    said = low.decode("utf-8", "replace")
+    found = detections(said) if any(g in low for g in GATE) or any(w in low and at.search(said) for w, at in PLACES) else []
     return len(words), sorted(places), found
 
 

@@ -123,6 +123,22 @@ def test_licenses(docs, text, n, places, first, last, base, labels):
     assert set(labels.split(",")) <= set(row["labels"].split(",")) and 0 <= row["score"] <= 1
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "  ", "\r\n", "\u00a0"])
+@pytest.mark.parametrize("text, label", [
+    ("GNU General Public License version 3", "gpl-3.0"), ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+    ("Redistribution and use in source and binary forms", "bsd"), ("Permission to use, copy, modify, and distribute this software", "isc"),
+    ("dedicated to the public domain", "public-domain"), ("released under the GPL", "gpl"), ("CC BY 4.0", "cc-by"), ("the SIL Open Font License", "ofl-1.1"),
+    ("Common Development and Distribution License", "cddl"), ("GNU Free Documentation License", "gfdl"), ("European Union Public License", "eupl"),
+    ("Open Database License", "odbl"), ("GNU Library General Public License", "lgpl"), ("the Expat License", "mit")])
+def test_wrapped_license_statements_are_found(text, label, space):
+    _, _, found = licenses.scan_text(text.replace(" ", space).encode())
+    assert label in {x for _, _, x, _ in found}
+
+
+def test_license_keywords_are_single_words():
+    assert not [r.keyword for r in licenses.RULES if re.search(r"\s", r.keyword)]
+
+
 def test_toxic_clauses_and_learning(spark, docs):
     kinds = lambda s: [k for _, k in toxicity.clauses(s.encode())]
     assert kinds("He is not an idiot.") == [toxicity.DENIED] and kinds("She said idiot.") == [toxicity.TOLD]
