@@ -5,8 +5,9 @@ A page becomes a small tree of its elements.  Elements that are never text of th
 are left out by tag, role and class words.  Every block of text gives points for its
 length and commas to the element around it, half of them to the next one up, a third to
 the one above, and so on; an element's points are discounted by the share of its text
-that is in links.  The best element is kept with those siblings that score nearly as
-well, and all their blocks are the text, in page order.
+that is in links.  The best element is kept with all its siblings, and those of the elements
+around it up to the article, of whose text no more than half is in links; where no element
+encloses the article, that is up to the page.  All their blocks are the text, in page order.
 
 Null and empty pages have an empty text.  Unclosed or crossed tags, stray brackets and
 unknown entities are read as browsers roughly do.  Rows are independent; an empty table
@@ -51,12 +52,11 @@ START = {"article": 30.0, "main": 20.0, "section": 5.0, "div": 5.0, "td": 3.0, "
 
 
 class Node:
-    __slots__ = ("tag", "up", "points", "chars", "linked", "order", "last")
+    __slots__ = ("tag", "up", "points", "chars", "linked", "order")
 
     def __init__(self, tag: str, up: Node | None, points: float, order: int):
         self.tag, self.up, self.points, self.order = tag, up, points, order
         self.chars = self.linked = 0
-        self.last = order
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -81,7 +81,7 @@ def extract(page: str) -> str:
     """The main text of one page."""
     root = Node("html", None, 0.0, 0)
     nodes, stack = [root], [root]
-    blocks: list[tuple[Node, str]] = []
+    blocks: list[tuple[Node, str, int]] = []
     parts: list[str] = []
     linked = 0
     skipped = depth = links = 0  # of the element left out: its depth in open tags of the same name
@@ -92,7 +92,7 @@ def extract(page: str) -> str:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append((stack[-1], text))
+                blocks.append((stack[-1], text, min(linked, len(text))))
                 at: Node | None = stack[-1]
                 while at is not None:
                     at.chars += len(text)
@@ -104,7 +104,7 @@ def extract(page: str) -> str:
     def pop(to: int) -> None:
         flush()
         while len(stack) > to:
-            stack.pop().last = len(nodes)
+            stack.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -177,12 +177,12 @@ def extract(page: str) -> str:
     return "\n\n".join(_chosen(nodes, blocks))
 
 
-def _chosen(nodes: list[Node], blocks: list[tuple[Node, str]]) -> list[str]:
-    """The blocks of the best element and of its siblings that score nearly as well."""
+def _chosen(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[str]:
+    """The blocks of the best element and of all beside it that is not mostly links."""
     if not blocks:
         return []
     touched: dict[int, Node] = {}
-    for owner, text in blocks:
+    for owner, text, _ in blocks:
         points = 1.0 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100, 3.0) if len(text) >= 25 else 0.2
         up = owner.up if owner.up is not None and owner.tag not in ("div", "article", "main", "section", "td") else owner
         share = 1
@@ -192,16 +192,20 @@ def _chosen(nodes: list[Node], blocks: list[tuple[Node, str]]) -> list[str]:
             up, share = up.up, share + 1
     scored = {k: n.points * (1 - n.linked / max(1, n.chars)) for k, n in touched.items()}
     best = touched[max(scored, key=lambda k: (scored[k], -k))]
-    limit = max(10.0, 0.2 * scored[best.order])
-    kept = [best]
+    beside: dict[int, list[Node]] = {}
+    for node in nodes[1:]:
+        beside.setdefault(node.up.order, []).append(node)
+    kept, around, top = {best.order}, set(), best
+    while top.up is not None:
+        around.add(top.up.order)  # text that stands in it by itself is as good as an element
+        kept.update(n.order for n in beside[top.up.order] if n is not top and 2 * n.linked <= n.chars)
+        if top.tag in ("article", "main"):
+            break
+        top = top.up
+    inside: list[bool] = []
     for node in nodes:
-        if node is not best and node.up is best.up and node.chars:
-            sparse = node.linked < 0.25 * node.chars
-            if scored.get(node.order, 0.0) >= limit or node.tag == best.tag == "article" and sparse \
-                    or node.tag in ("p", "h1") and sparse and node.chars > 80:
-                kept.append(node)
-    ranges = [(n.order, n.last) for n in kept]
-    return [text for owner, text in blocks if any(a <= owner.order < max(b, a + 1) for a, b in ranges)]
+        inside.append(node.order in kept or node.up is not None and inside[node.up.order])
+    return [text for owner, text, linked in blocks if inside[owner.order] or owner.order in around and 2 * linked <= len(text)]
 
 
 def main_text(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -106,6 +106,16 @@ def test_html_main_text():
     assert html.extract("<div><p>unclosed" + "<div>" * 2000 + "deep, text") != ""
 
 
+def test_html_article_without_one_element_around_it():
+    long = "A long text, with commas, of some length, to score some points, and more. " * 4
+    parts = ["Short title", long.strip(), "More", "A short paragraph.", "Loose words"]
+    page = "<body><nav>Menu</nav><h1>{}</h1><div>{}</div><h2>{}</h2><p>{}</p>{}<ul><li><a href='/x'>Other page</a></li></ul><footer>x</footer></body>"
+    assert html.extract(page.format(*parts)) == "\n\n".join(parts)
+    sections = "<body><section><h2>One</h2><div>{}</div></section><section><h2>Two</h2><div>Few words.</div><ul><li>item</li></ul></section></body>"
+    assert html.extract(sections.format(long)) == "\n\n".join(["One", long.strip(), "Two", "Few words.", "item"])
+    assert html.extract("<body><div>" + long + "</div><div>In <a>brief</a>: words.</div></body>") == long.strip() + "\n\nIn brief: words."
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "v", "<p>a</p>"), (3, "v", "<p>a</p>")], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.digest(pages).collect()) == [(1, "", 0), (2, "", 0), (3, "a", 1), (3, "a", 1)]
