@@ -272,6 +272,12 @@ def page_titles(t):
     return found.select("page_id", "title")
 
 
+@query()
+def all_page_titles(t):
+    """Of every page, also with markup in its heading or without one; ``page_titles`` is the part that SQL can say."""
+    return pages.extract_fields(t.pages, keep=["page_id"]).select("page_id", "title")
+
+
 @query()
 def page_products(t):
     return pages.extract_products(t.pages).select("url", "title", "price", "brand", "category", "image_count")

@@ -50,6 +50,13 @@ def stream_without_repeats(t):
     return jobs.run_available(stream.select("event_type", "class"), "append")
 
 
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_users_without_repeats(t):
+    """Keys in state grow with the users, unlike the classes of ``stream_without_repeats``."""
+    stream = jobs.without_repeats(_in_files(t, t.events.select("user_id", "event_type"), 5, "repeats"), ["user_id", "event_type"])
+    return jobs.run_available(stream.select("user_id", "event_type"), "append")
+
+
 @query("SELECT DISTINCT concat('/p/', l_partkey) AS url, trim(p_name) AS title FROM lineitem JOIN part ON l_partkey = p_partkey")
 def stream_history_of_runs(t):
     """Two runs with checkpoints of their own over the same rows: the second adds nothing, the first stays."""
