@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from martlet.llm import decontaminate, html, language, licenses, mixing, neardup, quality, secrets, toxicity, urls
+from martlet.llm import (
+    alignment, collocations, decontaminate, html, language, licenses, mixing, neardup, ngramjoin, quality, secrets, toxicity, urls)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +54,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_source_mixing, op2_decontamination, op3_minmax_near_duplicates, op4_secret_scan, op5_url_filter,
-    op6_line_quality, op7_main_text, op8_license_scan, op9_toxicity, op10_language_id)}
-ORACLES: dict[str, str] = {}
+    op6_line_quality, op7_main_text, op8_license_scan, op9_toxicity, op10_language_id,
+    op11_token_alignment, op12_collocations, op13_ngram_join)}
+ORACLES: dict[str, str] = {"op12_collocations": collocations.SQL, "op13_ngram_join": ngramjoin.SQL}
