@@ -51,6 +51,15 @@ def _written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _kept_by_block(df: DataFrame) -> tuple[str, str]:
+    """Written in buckets by ``block``, so that a join on it moves the other side only: a table and its path."""
+    path = work_path(df.sparkSession, "blocks")
+    name = "blocks_" + path.rsplit("-", 1)[1]
+    (df.write.format("parquet").option("compression", "zstd").option("path", path)
+     .bucketBy(_partitions(df), "block").saveAsTable(name))
+    return name, path
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -157,22 +166,14 @@ def _rows_with_partners(blocks: DataFrame, masks: DataFrame, bits: int, percent:
             ["node", "n", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, masks = None, {}
         for batch in batches:
-            named = [batch.column(c).to_pylist() for c in ("bucket", "mask", "sets", "sizes", "keys")]
-            for bucket, mask, sets, sizes, keys in zip(*named):
-                if bucket < 0:  # a block's rows come before its answers
-                    if rows:
-                        yield one(*rows, masks)
-                    rows, masks = (sets, sizes, keys), {}
-                else:
-                    masks[bucket] = mask
-        if rows:
-            yield one(*rows, masks)
+            for k in range(batch.num_rows):
+                answers = batch.column("answers")[k].values
+                masks = dict(zip(answers.field("bucket").to_pylist(), answers.field("mask").to_pylist()))
+                yield one(*(batch.column(c)[k].as_py() for c in ("sets", "sizes", "keys")), masks)
 
-    whole = blocks.select("block", F.lit(-1).alias("bucket"), "sets", "sizes", "keys")
-    both = whole.unionByName(masks, allowMissingColumns=True)
-    return both.repartition(_partitions(blocks), "block").sortWithinPartitions("block", "bucket").mapInArrow(run, "node binary, n int, keys binary")
+    answers = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("answers"))  # a bit for each column of a block
+    return blocks.join(answers, "block").select("sets", "sizes", "keys", "answers").mapInArrow(run, "node binary, n int, keys binary")
 
 
 def _first_entries(rows: DataFrame, percent: int) -> DataFrame:
@@ -289,12 +290,14 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, component_id) for each document."""
-    bits = bucket_bits(docs.sparkSession)
-    blocks = _written(incidence(docs, size).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    spark, bits = docs.sparkSession, bucket_bits(docs.sparkSession)
+    table, path = _kept_by_block(incidence(docs, size).withColumn("block", F.monotonically_increasing_id()))
+    blocks = spark.table(table)
     masks = _shared(_columns(blocks, bits))
     rows = _written(_rows_with_partners(blocks, masks, bits, percent).dropDuplicates(["node"]), "rows")
+    spark.sql(f"DROP TABLE {table}")  # its files stay
     links = _links(rows, percent)
-    listed = blocks.select(F.explode(F.arrays_zip("doc_ids", "ns", "nodes")).alias("d")).select(
+    listed = spark.read.parquet(path).select(F.explode(F.arrays_zip("doc_ids", "ns", "nodes")).alias("d")).select(
         F.col("d.doc_ids").alias("doc_id"), F.col("d.ns").alias("n"), F.col("d.nodes").alias("node"))
     firsts = listed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     linked = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
