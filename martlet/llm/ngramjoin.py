@@ -297,7 +297,7 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
     rows = _written(_rows_with_partners(blocks, masks, bits, percent).dropDuplicates(["node"]), "rows")
     spark.sql(f"DROP TABLE {table}")  # its files stay
     links = _links(rows, percent)
-    listed = spark.read.parquet(path).select(F.explode(F.arrays_zip("doc_ids", "ns", "nodes")).alias("d")).select(
+    listed = spark.read.schema(blocks.schema).parquet(path).select(F.explode(F.arrays_zip("doc_ids", "ns", "nodes")).alias("d")).select(
         F.col("d.doc_ids").alias("doc_id"), F.col("d.ns").alias("n"), F.col("d.nodes").alias("node"))
     firsts = listed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     linked = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
