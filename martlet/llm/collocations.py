@@ -8,10 +8,10 @@ symbol ranks.  An interval of the order stands for an n-gram; extending it to th
 gives the intervals of all longer n-grams with their counts, and keeps in step the interval
 of the reversed index, from which it is extended to the right.  Counts are summed over shards.
 
-Two passes read the texts.  The first sums words and bigrams under 64-bit keys and keeps
-those that may reach LEAST as a filter of fixed size (`blocks`).  The second counts, as
-strings, the words and bigrams that pass, and of the trigrams those whose two bigrams pass:
-no other can reach LEAST.  Keys only spare work; all counts are of the words themselves.
+Two passes read the texts.  The first sums n-grams under 64-bit keys and keeps those that
+may reach LEAST as a filter of fixed size (`blocks`).  The second counts, as strings, the
+n-grams that pass: no other can reach LEAST.  Keys only spare work; all counts are of the
+words themselves.
 
 Null and empty texts have no words; a null lang is ``und``.  Rows that repeat count each
 time.  Only lang and text are read, so other columns cannot clash.  An empty table gives an
@@ -37,7 +37,7 @@ from martlet.session import work_path
 LEAST, DEPTH, TOP = 10, 3, 2000
 SHARD_WORDS = 1 << 20
 #: Counted keys that a task gathers before it sends them.
-HELD_KEYS = 1 << 22
+HELD_KEYS = 1 << 21
 
 _STOPS = b".,;:!?\n\x0b\x0c\r"
 _LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _STOPS, b"abcdefghijklmnopqrstuvwxyz " + b"." * len(_STOPS))
@@ -108,6 +108,10 @@ def bigram_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _ODD + right)
 
 
+def trigram_keys(left: np.ndarray, middle: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(bigram_keys(left, middle) * _ODD + right)
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     open_: dict[str, Shard] = {}
     for batch in batches:
@@ -120,7 +124,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
 
 
 def _keys(docs: DataFrame, bits: int) -> DataFrame:
-    """Blocks of how often words and bigrams occur."""
+    """Blocks of how often words, bigrams and trigrams occur."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
 
@@ -135,10 +139,12 @@ def _keys(docs: DataFrame, bits: int) -> DataFrame:
             text, of = shard.text(), shard.hashes()
             index = Index(text, len(of))
             low, high = index.first[1:-1], index.first[2:]
-            owner, symbol, _, count, _ = index.extended(low, high)
-            keys += [mix(of[1:]), bigram_keys(of[symbol], of[owner + 1])]
-            counts += [high - low, count]
-            held += len(low) + len(count)
+            owner, left, start, count, _ = index.extended(low, high)
+            right = owner + 1
+            owner, first, _, often, _ = index.extended(start, start + count)
+            keys += [mix(of[1:]), bigram_keys(of[left], of[right]), trigram_keys(of[first], of[left[owner]], of[right[owner]])]
+            counts += [high - low, count, often]
+            held += len(low) + len(count) + len(often)
             if held >= HELD_KEYS:
                 yield sent()
                 keys, counts, held = [], [], 0
@@ -177,7 +183,7 @@ def _counted(docs: DataFrame, wanted: Filter) -> DataFrame:
         left, right, count, reverse = left[passed], right[passed], count[passed], reverse[passed]
         yield batch(2, [left, right], count)
         owner, last, _, count, _ = back.extended(reverse, reverse + count)
-        passed = wanted.passes(bigram_keys(of[right[owner]], of[last]))
+        passed = wanted.passes(trigram_keys(of[left[owner]], of[right[owner]], of[last]))
         owner = owner[passed]
         yield batch(3, [left[owner], right[owner], last[passed]], count[passed])
 

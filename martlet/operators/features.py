@@ -9,6 +9,7 @@ from martlet.functions import bins, text
 from martlet.operators.ranks import bind_row, medians
 from martlet.operators.topk import value_counts
 from martlet.schema import as_double, has, present, string_columns
+from martlet.session import saved
 
 #: Text columns that are never turned into codes.
 FREE_TEXT = ("title", "description", "url", "scraped_at", "scraped_at_str")
@@ -58,44 +59,54 @@ def model_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def value_codes(df: DataFrame, column: str, pieces: int = 512, n: int | None = None) -> DataFrame:
-    """(value, code): codes 0, 1, ... in the order of the values.
+def _codes(values: DataFrame, pieces: int = 512) -> DataFrame:
+    """(column, value, code): codes 0, 1, ... in the order of each column's values.
 
-    The distinct values are cut in about so many ``pieces`` at values drawn by hash,
-    numbered piece by piece, and shifted by the sizes of the pieces before.
+    The distinct values of a column are cut in about so many ``pieces`` at values drawn by
+    hash, numbered piece by piece, and shifted by the sizes of the pieces before.
     """
-    values = df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
-    if n is None:
-        n = values.agg(F.approx_count_distinct("value").alias("n")).first()["n"]
-    every = max(1, n // pieces)
-    drawn = values.where(F.pmod(F.xxhash64("value"), F.lit(every)) == 0).orderBy("value")
-    cuts = F.array(*[F.lit(r["value"]) for r in drawn.collect()])
-    cut = values.withColumn("piece", F.size(F.filter(cuts, lambda c: c <= F.col("value"))))
-    sizes = cut.groupBy("piece").agg(F.count(F.lit(1)).alias("held"))
-    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("piece", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("below"))
-    inside = Window.partitionBy("piece").orderBy("value")
-    return (cut.join(offsets, "piece")
-            .select("value", (F.col("below") + F.row_number().over(inside) - 1).alias("code")))
+    values = saved(values.select("column", "value").where("value IS NOT NULL").distinct(), "values")
+    shares = values.groupBy("column").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / pieces)).alias("every"))
+    # one row for each column, the second time with about so many pieces of its values
+    drawn = values.join(F.broadcast(shares), "column").where(F.pmod(F.xxhash64("value"), F.col("every")) == 0)
+    cuts = drawn.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("cuts"))
+    cut = values.join(F.broadcast(cuts), "column", "left").withColumn("piece", F.lit(0))
+    at = F.col("piece")
+    for k in reversed(range((4 * pieces).bit_length())):
+        cut = cut.withColumn("piece", F.when(F.get("cuts", at + (1 << k) - 1) <= F.col("value"), at + (1 << k)).otherwise(at))
+    cut = cut.drop("cuts")
+    before = Window.partitionBy("column").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (cut.groupBy("column", "piece").agg(F.count(F.lit(1)).alias("held"))
+               .select("column", "piece", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("below")))
+    inside = Window.partitionBy("column", "piece").orderBy("value")
+    return (cut.join(offsets, ["column", "piece"])
+            .select("column", "value", (F.col("below") + F.row_number().over(inside) - 1).alias("code")))
+
+
+def value_codes(df: DataFrame, column: str, pieces: int = 512) -> DataFrame:
+    """(value, code): codes 0, 1, ... in the order of the values."""
+    return _codes(df.select(F.lit("").alias("column"), F.col(column).alias("value")), pieces).drop("column")
 
 
 def encode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Add ``<column>_encoded`` for text columns with more than one value.
 
-    Missing text is the value 'Unknown', as an encoder sees it.
+    Missing text is the value 'Unknown', as an encoder sees it.  The codes of all columns
+    come from one pass over ``df`` and are written, so the plan grows by one join a column.
+    Unless named, free text and columns that identify rows (``_id``, ``_key``) get no codes.
     """
     if columns is None:
-        columns = [c for c in string_columns(df) if c not in FREE_TEXT]
+        columns = [c for c in string_columns(df) if c not in FREE_TEXT and not c.endswith(("_id", "_key"))]
     if not columns:
         return df
     filled = df.withColumns({c: F.coalesce(F.col(c), F.lit("Unknown")) for c in columns})
-    found = filled.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns],
-                       *[F.approx_count_distinct(c).alias(f"n_{c}") for c in columns]).first()
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("x")
+    codes = saved(_codes(filled.select(each).select("x.*")), "codes", "column")
+    several = {r["column"] for r in codes.groupBy("column").count().where("count > 1").collect()}
     for c in columns:
-        if found[c]:
-            codes = value_codes(filled, c, n=found[f"n_{c}"]).select(
-                F.col("value").alias(c), F.col("code").alias(f"{c}_encoded"))
-            filled = filled.join(codes, c)
+        if c in several:
+            filled = filled.join(codes.where(F.col("column") == c).select(
+                F.col("value").alias(c), F.col("code").alias(f"{c}_encoded")), c)
     return filled
 
 

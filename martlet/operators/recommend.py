@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions.text import combined_text
+from martlet.operators import graph
 from martlet.operators.features import min_max, one_hot_long
+from martlet.operators.graph import CONTENT_WEIGHT, FEATURE_WEIGHT
 from martlet.operators.linalg import moments_matrix, truncated_svd
 from martlet.operators.profile import category_stats
 from martlet.operators.quality import coverage
@@ -14,8 +16,8 @@ from martlet.operators.similarity import most_similar
 from martlet.operators.tfidf import tfidf, unit_length
 from martlet.operators.topk import value_counts
 from martlet.schema import TEXT_FIELDS, present
+from martlet.session import saved
 
-CONTENT_WEIGHT, FEATURE_WEIGHT = 0.6, 0.4
 ATTRIBUTES = ("title", "brand", "category", "price", "rating", "url")
 
 
@@ -59,6 +61,17 @@ def similar_products(products: DataFrame, k: int = 10, method: str = "hybrid",
     return edges.withColumn("method", F.lit(method))
 
 
+def similar_to(products: DataFrame, ids: DataFrame, k: int = 10, method: str = "hybrid",
+               key: str = "product_id") -> DataFrame:
+    """As ``similar_products``, for the few products in ``ids`` (a column ``key``) only: these are probed, others are not."""
+    if method != "collaborative" and not present(products, TEXT_FIELDS):
+        method = "collaborative"
+    packed = _VECTORS[method](products, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("feature", "weight"))).alias("v"))
+    packed = saved(packed, "vectors")
+    edges = graph.nearest_to(packed.join(ids, key, "left_semi"), packed, k, key)
+    return edges.withColumn("method", F.lit(method))
+
+
 def hybrid_edges(content: DataFrame, features: DataFrame, key: str = "product_id") -> DataFrame:
     """Weighted sum of two edge tables (full outer join); a missing edge counts 0.
 
@@ -111,8 +124,7 @@ def recommendation_report(products: DataFrame, key: str = "product_id") -> DataF
         F.lit("category_analysis").alias("section"), F.col("category").alias("name"),
         F.col("count").cast("string").alias("value"))
     first = products.select(key).orderBy(key).limit(5)
-    edges = similar_products(products, 5, "hybrid", key).where("rank <= 3")
-    samples = edges.join(F.broadcast(first), key, "left_semi").select(  # 5 rows
+    samples = similar_to(products, first, 5, "hybrid", key).where("rank <= 3").select(
         F.lit("sample_recommendations").alias("section"),
         F.concat(F.col(key).cast("string"), F.lit("_hybrid_"), F.col("rank").cast("string")).alias("name"),
         F.col("neighbour").cast("string").alias("value"))

@@ -58,6 +58,14 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, label: str, *partitions: str) -> DataFrame:
+    """``df`` written to the shared folder and read from there, by ``partitions`` if named."""
+    path = work_path(df.sparkSession, label)
+    writer = df.write.partitionBy(*partitions) if partitions else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder; it survives lost executors."""
     spark = df.sparkSession

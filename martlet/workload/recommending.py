@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from martlet.operators import quality, ranking, recommend, tfidf
+from martlet.operators import graph, quality, ranking, recommend, tfidf
+from martlet.session import work_path
+from martlet.sources import versions
 from martlet.workload.registry import query
 
 
@@ -145,11 +147,48 @@ def similar_hybrid(t):
 {HYBRID + nearest_sql("hybrid", 5)}) AS n JOIN products p ON p.product_id = n.neighbour WHERE n.product_id = 7""",
        "similarity price")
 def similar_to_one(t):
-    edges = recommend.similar_products(t.products, 5, "hybrid").where("product_id = 7")
+    edges = recommend.similar_to(t.products, t.spark.createDataFrame([(7,)], "product_id long"), 5, "hybrid")
     return recommend.with_attributes(edges, t.products).select(
         "product_id", "neighbour", "similarity", "rank", "title", "price")
 
 
+def _refreshed_graph(t):
+    """A graph stored when only some products and other prices were known, brought up to date."""
+    root = work_path(t.spark, "graph")
+    known = t.products.where("scraped_at < '2001-10-15'")
+    gone = known.withColumns({"product_id": F.col("product_id") + 10**9, "price": F.col("price") / 2})
+    repriced = known.withColumn("price", F.when(F.col("rating") > 2.7, F.col("price") * 1.5).otherwise(F.col("price")))
+    graph.build(repriced.union(gone), root, "2001-10-15", model=graph.fit(t.products))
+    graph.refresh(t.products, root, "2001-12-01")
+    return root
+
+
+@query(HYBRID + nearest_sql("hybrid", 10), "similarity", 6)
+def refreshed_similar_graph(t):
+    return versions.read(t.spark, _refreshed_graph(t), "edges").drop("bucket")
+
+
+@query(f"""SELECT n.product_id, n.neighbour, n.similarity, n.rank, p.title, p.price FROM (
+{HYBRID + nearest_sql("hybrid", 10)}) AS n JOIN products p ON p.product_id = n.neighbour WHERE n.product_id = 11 AND n.rank <= 5""",
+       "similarity price")
+def stored_similar_to_one(t):
+    root = work_path(t.spark, "graph")
+    graph.build(t.products, root, "2001-12-01")
+    return recommend.with_attributes(graph.neighbours(t.spark, root, 11, 5), t.products).select(
+        "product_id", "neighbour", "similarity", "rank", "title", "price")
+
+
+@query(f"""WITH n AS ({HYBRID + nearest_sql("hybrid", 10)})
+SELECT name, value FROM (VALUES ('k', '10'), ('key', 'product_id'), ('models', 'content,collaborative'), ('saved_at', '2001-12-01'),
+  ('buckets', '64'), ('products', CAST((SELECT count(*) FROM products) AS VARCHAR)),
+  ('edges', CAST((SELECT count(*) FROM n) AS VARCHAR)),
+  ('probed', CAST((SELECT count(*) FROM products) AS VARCHAR))) AS f(name, value)""")
+def stored_graph_metadata(t):
+    root = work_path(t.spark, "graph")
+    graph.build(t.products, root, "2001-12-01")
+    return versions.read(t.spark, root, "metadata")
+
+
 @query("""WITH a AS (SELECT l_partkey AS product_id, l_suppkey AS neighbour, max(l_discount) AS s FROM lineitem
   WHERE l_linenumber <= 4 GROUP BY 1, 2),
 b AS (SELECT l_partkey AS product_id, l_suppkey AS neighbour, max(l_tax) AS s FROM lineitem
