@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from martlet.operators import anomaly, clustering, density, forecast as demand
 from martlet.operators import features, linalg, regression
+from martlet.session import work_path
+from martlet.sources import versions
 from martlet.workload.registry import query
 
 
@@ -145,11 +147,28 @@ def segment_profiles(t):
 
 @query()
 def hierarchical_segments(t):
-    table, _ = clustering.cluster_table(features.model_columns(t.listings))
-    labelled = clustering.top_down(table, 4)
+    table, columns = clustering.cluster_table(features.model_columns(t.listings))
+    _, model = clustering.choose_k(table)
+    labelled, _ = clustering.hierarchical(table, columns, model.getK())
     return clustering.cluster_sizes(labelled)
 
 
+@query()
+def hierarchical_scores(t):
+    table, columns = clustering.cluster_table(features.model_columns(t.listings))
+    return clustering.hierarchical(table, columns)[1]
+
+
+@query("""SELECT count(*) AS rows, count(DISTINCT listing_id) AS ids, true AS all_labelled FROM listings
+WHERE price IS NOT NULL AND rating IS NOT NULL AND reviews_count IS NOT NULL AND discount_percentage IS NOT NULL""")
+def saved_segment_labels(t):
+    root = work_path(t.spark, "segments")
+    clustering.save_segments(features.model_columns(t.listings), "listing_id", root, "2001-12-01")
+    return versions.read(t.spark, root, "labels").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("listing_id").alias("ids"),
+        (F.count("kmeans_cluster") + F.count("hierarchical_cluster") == 2 * F.count(F.lit(1))).alias("all_labelled"))
+
+
 @query()
 def view_cluster_sizes(t):
     return clustering.cluster_sizes(clustering.view_clusters(features.model_columns(t.listings)))
