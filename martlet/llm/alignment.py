@@ -118,33 +118,48 @@ class Pair:
             ends.append(last)
         return ids, ends
 
-    def segment(self, text: str) -> tuple[int, int, int, str, bytes] | None:
-        """Numbers of A tokens, B tokens and groups, the groups as text, the links as ``a << 32 | b``."""
-        a = self.tokens_a(text)
-        b = a and self.tokens_b(text)
+    def segments(self, texts: list[str]) -> list[tuple[int, int, int, str, bytes]] | None:
+        """For each of the segments, which are encoded in one piece: numbers of A tokens, B tokens and
+        groups, the groups as text, and the links as ``a << 32 | b``.  None if a text does not come back."""
+        whole = "".join(texts)
+        a = self.tokens_a(whole)
+        b = a and self.tokens_b(whole)
         if not a or not b:
             return None
         (a_ids, a_ends), (b_ids, b_ends) = a, b
-        links, groups, i, j, a_from, b_from = [], [], 0, 0, 0, 0
-        while i < len(a_ids) and j < len(b_ids):
-            links.append(a_ids[i] << 32 | b_ids[j])
-            a_end, b_end = a_ends[i], b_ends[j]
-            i += a_end <= b_end
-            j += b_end <= a_end
-            if a_end == b_end:
-                groups.append(f"{','.join(map(str, a_ids[a_from:i]))}|{','.join(map(str, b_ids[b_from:j]))}")
-                a_from, b_from = i, j
-        return len(a_ids), len(b_ids), len(groups), ";".join(groups), array("q", links).tobytes()
+        out, i, j, bound = [], 0, 0, 0
+        for text in texts:
+            bound += len(text.encode())
+            links, groups, first, end = [], [], (i, j), -1
+            a_from, b_from = i, j
+            while end != bound:
+                a_end, b_end = a_ends[i], b_ends[j]
+                if a_end > bound or b_end > bound:
+                    return None  # a token crosses two segments
+                links.append(a_ids[i] << 32 | b_ids[j])
+                i += a_end <= b_end
+                j += b_end <= a_end
+                if a_end == b_end:
+                    groups.append(f"{','.join(map(str, a_ids[a_from:i]))}|{','.join(map(str, b_ids[b_from:j]))}")
+                    a_from, b_from, end = i, j, a_end
+            out.append((i - first[0], j - first[1], len(groups), ";".join(groups), array("q", links).tobytes()))
+        return out
+
+    def made(self, texts: list[str]) -> dict[str, tuple | None]:
+        """The entries of new segments; those that may follow each other in a text are encoded together."""
+        joined = sorted(t for t in texts if _FOLLOWS.match(t) and _ENDS.search(t))[::-1]  # a space before a line end
+        out = dict(zip(joined, self.segments(joined) or ())) if len(joined) > 1 else {}
+        return out | {t: (self.segments([t]) or [None])[0] for t in texts if t not in out}
 
     def document(self, raw: bytes) -> tuple[int, int, int, str, np.ndarray] | None:
-        """As segment, for a whole text behind a space."""
+        """As segments, for a whole text behind a space."""
         if not raw:
             return None
         text = " " + raw.decode()
-        found = list(map(self.known.__getitem__, _SEGMENT.split(text))) if self.cuttable else [None]
+        found = self.known.entries(_SEGMENT.split(text)) if self.cuttable else [None]
         if None in found:  # decided on the whole text
-            found = [self.segment(text)]
-            if found[0] is None:
+            found = self.segments([text])
+            if found is None:
                 return None
         n_a, n_b, n_groups, groups, links = zip(*found)
         return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(links), np.int64)
@@ -156,22 +171,31 @@ _SEGMENT = re.compile(r"(?<=[\w.,;:!?])(?=[ \n]\w)|(?<=[0-9A-Za-zß-öø-ɏ])(?=
 _INNER = re.compile(r"[0-9A-Za-zß-öø-ɏ][.,;:!?]")
 
 
+#: What may begin and end a segment that stands behind another one.
+_FOLLOWS, _ENDS = re.compile(r"[ \n]\w"), re.compile(r"[\w.,;:!?]\Z")
+
+
 class _Known(dict):
     """Segments met before; a memory of bounded size, which results do not depend on."""
 
-    ENTRIES, CHARACTERS = 200_000, 48
+    ENTRIES, CHARACTERS = 300_000, 48
 
     def __init__(self, pair: Pair):
         self.pair, self.earlier = pair, {}
 
-    def __missing__(self, text: str):
-        made = self.earlier.get(text) or self.pair.segment(text)
-        if len(text) <= self.CHARACTERS:
-            if len(self) >= self.ENTRIES:
-                self.earlier = dict(self)
-                self.clear()
-            self[text] = made
-        return made
+    def entries(self, texts: list[str]) -> list[tuple | None]:
+        found = list(map(self.get, texts))
+        if None not in found:
+            return found
+        new = {t: self.earlier.get(t) for t, f in zip(texts, found) if f is None}
+        new |= self.pair.made([t for t, f in new.items() if f is None])
+        kept = {t: f for t, f in new.items() if f is not None and len(t) <= self.CHARACTERS}
+        if len(self) + len(kept) > self.ENTRIES:
+            self.earlier = dict(self)
+            self.clear()
+        if len(kept) <= self.ENTRIES:
+            self.update(kept)
+        return [f or new[t] for t, f in zip(texts, found)]
 
 
 _loaded: dict[tuple[bytes, bytes], Pair] = {}

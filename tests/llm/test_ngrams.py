@@ -54,7 +54,8 @@ def test_alignment_memory_is_bounded(pair, monkeypatch):
     monkeypatch.setattr(alignment._Known, "ENTRIES", 3)
     known = alignment._Known(pair)
     for k in range(20):
-        assert known[f" w{k % 7}"] == pair.segment(f" w{k % 7}")
+        wanted = [f" w{k % 7}", "\nLine", f" and{k % 3}", ".", f" w{k % 7}"]
+        assert known.entries(wanted) == [pair.segments([t])[0] for t in wanted]
     assert len(known) <= 3 and len(known.earlier) <= 3
 
 
