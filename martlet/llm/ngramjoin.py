@@ -5,11 +5,12 @@ and a column for each shingle, a 64-bit hash.  Sets link if 100 * overlap >= per
 union, so either must hold t = ceil(percent * size / 100) entries that the other has too.
 
 1. Tasks fold their documents into blocks of rows.  Each block sends its columns, once
-   each and cut into buckets by the hash, and a bucket answers with a bit per column: found
-   elsewhere or not.  Rows with fewer than t shared entries have no partner and go; of the
-   others only shared entries are kept.
-2. Of m kept entries the first m - t + 1, in the order of the hash, must hold one that
-   any partner has there too.  Rows that meet in such a column are candidates.
+   each and cut into buckets by the hash, and a bucket answers with a byte per column: how many
+   rows have it, by powers of two.  Rows with fewer than t shared entries have no partner and go; of the
+   others only shared entries are kept.  This is done again with the rows that stay, whose
+   entries may have been shared with rows that went, while it removes a tenth of them.
+2. Of m kept entries the first m - t + 1, the rarest first and then by the hash, must hold
+   one that any partner has there too.  Rows that meet in such a column are candidates.
 3. Candidates are multiplied block by block: overlaps of a block of rows with rows that
    stream past are accumulated, and pairs below the bounds of their sizes discarded.  First
    each column's most met row is held against the others, which connects copies of one text
@@ -52,7 +53,9 @@ def _written(df: DataFrame, label: str) -> DataFrame:
 
 
 def _kept_by_block(df: DataFrame) -> tuple[str, str]:
-    """Written in buckets by ``block``, so that a join on it moves the other side only: a table and its path."""
+    """Written with a number for each block, in buckets by it, so that a join on it moves
+    the other side only: a table and its path."""
+    df = df.withColumn("block", F.monotonically_increasing_id())
     path = work_path(df.sparkSession, "blocks")
     name = "blocks_" + path.rsplit("-", 1)[1]
     (df.write.format("parquet").option("compression", "zstd").option("path", path)
@@ -65,9 +68,10 @@ def _partitions(df: DataFrame) -> int:
 
 
 def incidence(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Blocks of rows: the documents (doc_ids, ns, nodes) and the distinct sets (sets, sizes, keys)."""
-    names = ["doc_ids", "ns", "nodes", "sets", "sizes", "keys"]
-    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+    """Blocks of rows: the documents (doc_ids, ns, nodes) and the distinct sets (sets, sizes, held, keys)."""
+    names = ["doc_ids", "ns", "nodes", "sets", "sizes", "held", "keys"]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()),
+             pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -75,8 +79,8 @@ def incidence(docs: DataFrame, size: int = SIZE) -> DataFrame:
         held = 0
 
         def sent() -> pa.RecordBatch:
-            columns = [*map(list, zip(*rows)), list(sets), [len(x) for x in sets.values()],
-                       b"".join(x.tobytes() for x in sets.values())]
+            sizes = [len(x) for x in sets.values()]
+            columns = [*map(list, zip(*rows)), list(sets), sizes, sizes, b"".join(x.tobytes() for x in sets.values())]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], names)
 
         for batch in batches:
@@ -96,15 +100,41 @@ def incidence(docs: DataFrame, size: int = SIZE) -> DataFrame:
             yield sent()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_ids array<long>, ns array<int>, nodes array<binary>, sets array<binary>, sizes array<int>, keys binary")
+        run, "doc_ids array<long>, ns array<int>, nodes array<binary>, sets array<binary>, sizes array<int>, held array<int>, keys binary")
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Rows (node, n, keys) as blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        entries = 0
+
+        def sent() -> pa.RecordBatch:
+            nodes, sizes, keys = map(list, zip(*held))
+            columns = [pa.array([nodes], pa.list_(pa.binary())), pa.array([sizes], pa.list_(pa.int32())),
+                       pa.array([[len(k) // 8 for k in keys]], pa.list_(pa.int32())), pa.array([b"".join(keys)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["sets", "sizes", "held", "keys"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "keys"))):
+                held.append(row)
+                entries += len(row[2]) // 8
+                if entries >= BLOCK_ENTRIES:
+                    yield sent()
+                    held, entries = [], 0
+        if held:
+            yield sent()
+
+    return rows.mapInArrow(run, "sets array<binary>, sizes array<int>, held array<int>, keys binary")
 
 
 def _columns(blocks: DataFrame, bits: int) -> DataFrame:
-    """(bucket, block, columns, twice): each block's distinct columns, and which of them it holds twice."""
+    """(bucket, block, columns, times): each block's distinct columns, and how often it holds them (up to 255)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, keys in zip(batch.column("block").to_pylist(), batch.column("keys").to_pylist()):
                 key, n = np.unique(np.frombuffer(keys, np.uint64), return_counts=True)
+                n = np.minimum(n, 255).astype(np.uint8)
                 bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
                 short = (key >> np.uint64(32 - bits)).astype(np.uint32)  # unlike columns that agree in it only keep rows longer
                 edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
@@ -112,28 +142,29 @@ def _columns(blocks: DataFrame, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[edges[:-1]], pa.int32()), pa.array([block] * len(cuts), pa.int64()),
                      pa.array([short[a:b].tobytes() for a, b in cuts], pa.binary()),
-                     pa.array([np.packbits(n[a:b] > 1).tobytes() for a, b in cuts], pa.binary())], ["bucket", "block", "columns", "twice"])
+                     pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())], ["bucket", "block", "columns", "times"])
 
-    return blocks.select("block", "keys").mapInArrow(run, "bucket int, block long, columns binary, twice binary")
+    return blocks.select("block", "keys").mapInArrow(run, "bucket int, block long, columns binary, times binary")
 
 
 def _shared(columns: DataFrame) -> DataFrame:
-    """(block, bucket, mask): a bit for each column of the block, set if another row has it."""
+    """(block, bucket, levels): a byte for each column of the block, 0 if no other row has it, else more the more have it."""
     def one(bucket: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         parts = [np.frombuffer(c, np.uint32) for _, c, _ in held]
         ends = np.cumsum([len(p) for p in parts])
         key = np.concatenate(parts)
-        twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(p)) for (_, _, t), p in zip(held, parts)])
-        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
-        shared = (n + np.bincount(at, weights=twice) > 1)[at]
-        masks = [np.packbits(shared[end - len(p):end]).tobytes() for p, end in zip(parts, ends.tolist())]
+        times = np.concatenate([np.frombuffer(t, np.uint8) for _, _, t in held])
+        _, at = np.unique(key, return_inverse=True)
+        total = np.bincount(at, weights=times)
+        level = np.ceil(np.log2(total)).astype(np.uint8)[at]
+        levels = [level[end - len(p):end].tobytes() for p, end in zip(parts, ends.tolist())]
         return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()),
-                                           pa.array(masks, pa.binary())], ["block", "bucket", "mask"])
+                                           pa.array(levels, pa.binary())], ["block", "bucket", "levels"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
         for batch in batches:
-            for bucket, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "columns", "twice"))):
+            for bucket, *rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "columns", "times"))):
                 if bucket != current:
                     if held:
                         yield one(current, held)
@@ -143,37 +174,50 @@ def _shared(columns: DataFrame) -> DataFrame:
             yield one(current, held)
 
     dealt = columns.repartition(_partitions(columns), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "block long, bucket int, mask binary")
+    return dealt.mapInArrow(run, "block long, bucket int, levels binary")
 
 
-def _rows_with_partners(blocks: DataFrame, masks: DataFrame, bits: int, percent: int) -> DataFrame:
-    """(node, n, keys) of rows with enough shared entries; ``keys`` holds these only."""
-    def one(sets: list[bytes], sizes: list[int], keys: bytes, masks: dict[int, bytes]) -> pa.RecordBatch:
-        key, size = np.frombuffer(keys, np.uint64), np.array(sizes, np.int64)
+def _rows_with_partners(blocks: DataFrame, shared: DataFrame, bits: int, percent: int) -> DataFrame:
+    """(node, n, keys) of rows with enough shared entries; ``keys`` holds these only, the rarest first."""
+    def one(sets: list[bytes], sizes: list[int], held: list[int], keys: bytes, answers: dict[int, bytes]) -> pa.RecordBatch:
+        key, size, held = np.frombuffer(keys, np.uint64), np.array(sizes, np.int64), np.array(held, np.int64)
         distinct, at = np.unique(key, return_inverse=True)
         edges = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        shared = np.zeros(len(distinct), bool)
-        for bucket, mask in masks.items():
-            low, high = edges[bucket], edges[bucket + 1]
-            shared[low:high] = np.unpackbits(np.frombuffer(mask, np.uint8), count=high - low)
-        entry = shared[at]
-        start = np.cumsum(size) - size
+        level = np.zeros(len(distinct), np.uint8)
+        for bucket, levels in answers.items():
+            level[edges[bucket]:edges[bucket + 1]] = np.frombuffer(levels, np.uint8)
+        level = level[at]
+        entry = level > 0
+        start = np.cumsum(held) - held
         kept = np.add.reduceat(entry, start, dtype=np.int64) if len(size) else size
         left = np.flatnonzero(100 * kept >= percent * size).tolist()
+        row = np.repeat(np.arange(len(size)), held)
+        order = np.lexsort((key, level, row))  # rows stay where they are
+        key, entry = key[order], entry[order]
         return pa.RecordBatch.from_arrays(
             [pa.array([sets[k] for k in left], pa.binary()), pa.array(size[left], pa.int32()),
-             pa.array([key[a:b][entry[a:b]].tobytes() for a, b in ((start[k], start[k] + size[k]) for k in left)], pa.binary())],
+             pa.array([key[a:b][entry[a:b]].tobytes() for a, b in ((start[k], start[k] + held[k]) for k in left)], pa.binary())],
             ["node", "n", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 answers = batch.column("answers")[k].values
-                masks = dict(zip(answers.field("bucket").to_pylist(), answers.field("mask").to_pylist()))
-                yield one(*(batch.column(c)[k].as_py() for c in ("sets", "sizes", "keys")), masks)
+                levels = dict(zip(answers.field("bucket").to_pylist(), answers.field("levels").to_pylist()))
+                yield one(*(batch.column(c)[k].as_py() for c in ("sets", "sizes", "held", "keys")), levels)
+
+    answers = shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "levels")).alias("answers"))  # a byte for each column of a block
+    return blocks.join(answers, "block").select("sets", "sizes", "held", "keys", "answers").mapInArrow(run, "node binary, n int, keys binary")
+
 
-    answers = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("answers"))  # a bit for each column of a block
-    return blocks.join(answers, "block").select("sets", "sizes", "keys", "answers").mapInArrow(run, "node binary, n int, keys binary")
+def _with_partners(blocks: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """(node, n, keys) of rows with enough shared entries, and where the blocks were written."""
+    spark, bits = blocks.sparkSession, bucket_bits(blocks.sparkSession)
+    name, path = _kept_by_block(blocks)
+    table = spark.table(name)
+    rows = _written(_rows_with_partners(table, _shared(_columns(table, bits)), bits, percent).dropDuplicates(["node"]), "rows")
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return rows, path
 
 
 def _first_entries(rows: DataFrame, percent: int) -> DataFrame:
@@ -290,14 +334,14 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, component_id) for each document."""
-    spark, bits = docs.sparkSession, bucket_bits(docs.sparkSession)
-    table, path = _kept_by_block(incidence(docs, size).withColumn("block", F.monotonically_increasing_id()))
-    blocks = spark.table(table)
-    masks = _shared(_columns(blocks, bits))
-    rows = _written(_rows_with_partners(blocks, masks, bits, percent).dropDuplicates(["node"]), "rows")
-    spark.sql(f"DROP TABLE {table}")  # its files stay
+    blocks = incidence(docs, size)
+    rows, path = _with_partners(blocks, percent)
+    n, before = rows.count(), None
+    while before is None or 0 < n < 0.9 * before:
+        rows, _ = _with_partners(_blocked(rows), percent)
+        n, before = rows.count(), n
     links = _links(rows, percent)
-    listed = spark.read.schema(blocks.schema).parquet(path).select(F.explode(F.arrays_zip("doc_ids", "ns", "nodes")).alias("d")).select(
+    listed = docs.sparkSession.read.schema(blocks.schema).parquet(path).select(F.explode(F.arrays_zip("doc_ids", "ns", "nodes")).alias("d")).select(
         F.col("d.doc_ids").alias("doc_id"), F.col("d.ns").alias("n"), F.col("d.nodes").alias("node"))
     firsts = listed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     linked = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
