@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from martlet.session import work_path
-from martlet.streaming import jobs
+from martlet.streaming import jobs, kpi_table, trend
 from martlet.workload.registry import query
 from martlet.workload.views import VIEWS
 
@@ -69,6 +69,27 @@ def stream_history_of_runs(t):
     return t.spark.read.parquet(history).select("url", "title")
 
 
+@query("""WITH n AS (SELECT floor(epoch(max(ts)) / 86400) AS d FROM events)
+SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS events,
+       sum(coalesce(value, 0) * exp(-((d + 1) * 86400 - epoch(ts)) / 86400)) AS score
+FROM events, n WHERE floor(epoch(ts) / 86400) > d - 7 AND user_id IS NOT NULL GROUP BY 1""", "score")
+def stream_trending_scores(t):
+    return trend.run_trending(_in_files(t, t.events, 4, "trend"), "user_id", "ts", "value")
+
+
+@query("""SELECT count(*) AS rows, avg(price) AS avg_price, min(price) AS min_price, max(price) AS max_price, avg(rating) AS avg_rating,
+       min(rating) AS min_rating, max(rating) AS max_rating, count(DISTINCT category) AS distinct_category,
+       count(DISTINCT brand) AS distinct_brand FROM listings""", "avg_price min_price max_price avg_rating min_rating max_rating")
+def refreshed_kpi_table(t):
+    """Two runs over several files each; the figures are those of all rows."""
+    root = work_path(t.spark, "kpi")
+    rows = t.listings.select("listing_id", "price", "rating", "category", "brand", "scraped_at")
+    for k, part in enumerate(("scraped_at < '1998-01-01'", "NOT coalesce(scraped_at < '1998-01-01', false)")):
+        stream = _in_files(t, rows.where(part), 3, "kpi-in")
+        kpi_table.follow(stream, root, ["price", "rating"], ["category", "brand"], work_path(t.spark, f"kpi-{k}")).awaitTermination()
+    return kpi_table.current(t.spark, root)
+
+
 @query()
 def stream_kpis(t):
     return jobs.run_available(jobs.kpis(_stream(t, "events"), "event_type", "user_id", value="value"), "complete")
