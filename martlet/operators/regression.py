@@ -8,6 +8,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import RobustScaler, VectorAssembler
@@ -16,6 +17,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martlet.operators import linear
 from martlet.operators.features import MODEL_FEATURES, encode, model_columns, useful_columns
 from martlet.operators.filters import enough_rows
 from martlet.schema import present
@@ -172,18 +174,33 @@ def cross_validate(data: ModelData, name: str, trees: int = 100, rounds: int = 1
     search = CrossValidator(estimator=Pipeline(stages=[*stages, estimator]), evaluator=judge,
                             estimatorParamMaps=ParamGridBuilder().build(), numFolds=folds,
                             foldCol="fold", parallelism=2)
-    fitted = search.fit(data.train)
+    fitted = search.fit(data.train.withColumn("fold", F.col("fold") % folds))
     return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
 
 
 def price_models(data: ModelData, names=ALL_MODELS, cv_folds: int | None = 5, **sizes) -> DataFrame:
-    """One row per model: test metrics, cross-validated R2, what was fitted."""
-    trained = train(data, names, **sizes)
-    measured = regression_metrics(predict(trained, data.test), data.target, names).collect()
-    rows = []
-    for r in measured:  # one row per model
-        mean, std = cross_validate(data, r["model"], folds=cv_folds, **sizes) if cv_folds else (None, None)
-        rows.append((*r, mean, std, trained.methods[r["model"]]))
+    """One row per model: test metrics, cross-validated R2, what was fitted.
+
+    All linear models and their folds come from one scan for moments, trees from
+    ``pyspark.ml``; all predictions are judged in one pass.
+    """
+    straight, trees = [n for n in names if n in LINEAR], [n for n in names if n not in LINEAR]
+    table, methods, folds = data.test, {}, {}
+    if straight:
+        scaled = linear.scaling(data.train, data.features, data.target)
+        moments = linear.fold_moments(data.train.withColumn("fold", F.col("fold") % (cv_folds or 1)), scaled)
+        whole = sum(moments.values())
+        table = table.withColumns({n: linear.solve(n, whole).expression(scaled) for n in straight})
+        methods |= {n: linear.METHODS[n] for n in straight}
+        if cv_folds and len(moments) > 1:
+            folds |= {n: (float(np.mean(s)), float(np.std(s))) for n, s in linear.fold_scores(moments, straight).items() if None not in s}
+    if trees:
+        trained = train(data, trees, **sizes)
+        table, methods = predict(trained, table), methods | trained.methods
+        if cv_folds:
+            folds |= {n: cross_validate(data, n, folds=cv_folds, **sizes) for n in trees}
+    measured = {r["model"]: r for r in regression_metrics(table, data.target, names).collect()}  # one row per model
+    rows = [(n, *[measured[n][c] for c in ("mse", "mae", "rmse", "r2")], *folds.get(n, (None, None)), methods[n]) for n in names]
     return data.train.sparkSession.createDataFrame(
         rows, "model string, mse double, mae double, rmse double, r2 double, "
               "cv_r2_mean double, cv_r2_std double, method string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from martlet.operators import anomaly, clustering, density, forecast as demand
-from martlet.operators import features, linalg, regression
+from martlet.operators import features, linalg, linear, regression
 from martlet.session import work_path
 from martlet.sources import versions
 from martlet.workload.registry import query
@@ -41,8 +41,30 @@ def linear_price_models(t):
 
 @query()
 def linear_cross_validation(t):
-    data = _product_data(t)
-    return _released(data, regression.price_models(data, ("ridge",), cv_folds=5))
+    data = _listing_data(t)
+    return _released(data, regression.price_models(data, regression.LINEAR, cv_folds=5))
+
+
+def one_feature_sql() -> str:
+    """Fits and scores per left-out fold of the models of one feature, which have closed forms."""
+    return """WITH r AS (SELECT original_price AS x0, price AS y0, CAST(split_key % 5 AS INT) AS fold FROM listings),
+q AS (SELECT quantile_cont(x0, 0.5) AS xm, quantile_cont(x0, 0.75) - quantile_cont(x0, 0.25) AS xw, quantile_cont(y0, 0.5) AS ym FROM r),
+z AS (SELECT (x0 - xm) / xw AS x, y0 - ym AS y, fold FROM r, q),
+f AS (SELECT DISTINCT fold FROM z),
+m AS (SELECT f.fold, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(x, y) AS cxy
+      FROM f JOIN z ON z.fold <> f.fold GROUP BY f.fold),
+w AS (SELECT fold, mx, my, unnest(['linear_regression', 'ridge', 'lasso', 'elastic_net']) AS model,
+             unnest([cxy / vx, cxy * n / (vx * n + 1), sign(cxy) * greatest(abs(cxy) - 1, 0) / vx,
+                     sign(cxy) * greatest(abs(cxy) - 0.5, 0) / (vx + 0.5)]) AS w FROM m),
+s AS (SELECT model, z.fold, 1 - avg((y - my - w * (x - mx)) * (y - my - w * (x - mx))) / var_pop(y) AS r2
+      FROM z JOIN w ON w.fold = z.fold GROUP BY 1, 2)
+SELECT model, avg(r2) AS cv_r2_mean, stddev_pop(r2) AS cv_r2_std, CAST(count(*) AS INT) AS folds FROM s GROUP BY 1"""
+
+
+@query(one_feature_sql(), "cv_r2_mean cv_r2_std", 7)
+def one_feature_cross_validation(t):
+    rows = t.listings.withColumn("fold", F.col("split_key") % 5)
+    return linear.cross_validated(rows, ["original_price"], "price").drop("method")
 
 
 @query()
