@@ -15,6 +15,7 @@ repeated results; an empty table gives an empty one.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -132,15 +133,22 @@ def detections(low: str) -> list[tuple[int, int, str, float]]:
     found = [(r.priority, m.start(), m.end(), r.label, r.confidence)
              for r in RULES if held[r.keyword] for m in r.pattern.finditer(low)]
     found.sort(key=lambda d: (d[0], d[1] - d[2], d[1], -d[4], d[3]))
-    kept: list[tuple] = []
-    seen: set[tuple] = set()
-    for d in found:
-        mine = (d[0], d[1], d[2], d[3])
-        if mine in seen or any(k[1] <= d[1] and d[2] <= k[2] and (k[1:3] != d[1:3] or k[0] <= d[0]) for k in kept):
+    starts = sorted({d[1] for d in found})
+    reach = [-1] * (len(starts) + 1)  # a tree of prefix maxima: the furthest end of those kept by start
+    kept = []
+    for _, start, end, label, sure in found:
+        k = here = bisect_right(starts, start)
+        furthest = -1
+        while k:
+            furthest = max(furthest, reach[k])
+            k &= k - 1
+        if furthest >= end:
             continue
-        seen.add(mine)
-        kept.append(d)
-    return sorted((a, b, label, sure) for _, a, b, label, sure in kept)
+        kept.append((start, end, label, sure))
+        while here < len(reach):
+            reach[here] = max(reach[here], end)
+            here += here & -here
+    return sorted(kept)
 
 
 def scan_text(raw: bytes) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:

@@ -1,6 +1,7 @@
 """Operators on single texts against plain versions of their rules."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -122,6 +123,74 @@ def test_html_table(spark):
     assert html.digest(pages.limit(0)).count() == 0
 
 
+LONG = "A paragraph, with commas, and enough words to count as one. It goes on, and ends."
+
+
+def test_html_keeps_what_only_looks_like_a_menu():
+    """Names are taken whole, for blocks only, and do not take the article away."""
+    for page, text in (
+            ('<div class="post comments-open"><p>{0}</p></div>', "{0}"),
+            ('<div id="content" class="search"><p>{0}</p></div>', "{0}"),
+            ('<div class="search"><p>{0}</p></div>', "{0}"),
+            ('<article><header class="entry-header"><h1>Title</h1></header><p>{0}</p></article>', "Title\n\n{0}"),
+            ('<article><h2 class="related-work">Related</h2><p class="notice-period">{0}</p></article>', "Related\n\n{0}"),
+            ('<article><p>An <span class="social">inner</span> word. {0}</p></article>', "An inner word. {0}"),
+            ('<article><p>Press <button>Go</button> or <svg><path d="M0"/></svg> now, <input type=text> wait. {0}</p></article>',
+             "Press or now, wait. {0}")):
+        assert html.extract(f"<body>{page.format(LONG)}</body>") == text.format(LONG), page
+    beside = f"<article><h1>T</h1></article><div class='ad'>{LONG * 3}</div>"
+    assert html.extract(beside) == "T"
+    for name in ("site-footer", "share-buttons", "cookie-banner", "main-nav", "comments", "ad-slot", "related-posts"):
+        assert html.extract(f"<div class='x {name}'>{LONG}</div><div>{LONG * 3}</div>") == LONG * 3, name
+
+
+def plain_main(tree):
+    """Blocks of a made-up tree, without what is left out: (tag, class, children or text)."""
+    tag, name, inner = tree
+    if tag in ("nav", "footer", "aside", "form", "script") or name in ("ad", "sidebar", "comments"):
+        return []
+    if isinstance(inner, str):
+        return [inner]
+    return [text for child in inner for text in plain_main(child)]
+
+
+def test_html_of_made_up_trees():
+    dice = random.Random(11)
+
+    def tree(depth):
+        kind = dice.random()
+        words = " ".join(dice.choice(["one,", "two", "three", "four&amp;"]) for _ in range(dice.randint(8, 30)))
+        if depth == 0 or kind < 0.5:
+            return dice.choice(["p", "h2", "blockquote"]), "", words
+        if kind < 0.7:
+            return dice.choice([("nav", "", words), ("aside", "", words), ("script", "", "x = 1"), ("div", "ad", words), ("section", "sidebar", words)])
+        return dice.choice(["div", "section"]), "", [tree(depth - 1) for _ in range(dice.randint(1, 4))]
+
+    def written(t):
+        tag, name, inner = t
+        body = inner if isinstance(inner, str) else "\n".join(map(written, inner))
+        return f"<{tag}{' class=' + name if name else ''}>{body}</{tag}>"
+
+    for _ in range(60):
+        whole = ("article", "", [("p", "", f"{LONG} {LONG}"), *(tree(4) for _ in range(5))])
+        page = f"<html><body><nav><a href=x>Menu</a></nav>{written(whole)}<footer>End</footer></body></html>"
+        assert html.extract(page) == "\n\n".join(t.replace("&amp;", "&") for t in plain_main(whole))
+
+
+def test_html_takes_linear_time():
+    import time
+    for part in ("<div>", '<a "', "<a '><'", "<!--", "< ", "<p><div>", "<ul><li>", "<table><tr><td>", "<article><nav>"):
+        start = time.process_time()
+        html.extract(part * 50_000 + "x, y")
+        assert time.process_time() - start < 5, part
+
+
+def test_html_keeps_other_columns(spark):
+    odd = spark.createDataFrame([(1, "u", "<p>a</p>", "x", 2)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html.digest(odd).collect()] == [(1, "u", "a", 1)]
+    assert html.main_text(odd).columns == ["page_id", "url", "text", "n_chars", "_llm_main"]
+
+
 @pytest.mark.parametrize("text, n, places, first, last, base, labels", [
     ("Licensed under CC BY-NC 4.0.", 7, 1, 2, 2, "cc-by", "cc-by,cc-by-nc"), ("cc by cc by", 4, 2, 0, 2, "cc-by", "cc-by"),
     ("GNU General Public License, version 3. All rights reserved.", 9, 2, 1, 6, "gpl,reserved", "gpl,gpl-3.0,reserved"),
@@ -209,3 +278,22 @@ def test_toxic_stems_are_learned_from_labels(spark):
     assert toxicity.learn_stems(docs.limit(0), labels) == toxicity.Stems()
     one_kind = toxicity.learn_stems(docs, labels.where("toxic = 1"))
     assert one_kind.starts == {"zorg"} and 0 <= one_kind.chance(2, 8) <= 1
+
+
+def test_license_detections_against_all_pairs():
+    """Kept are those that no earlier one in order contains, however many there are."""
+    text = " ".join(dice for k in range(40) for dice in (
+        "Released under the MIT License.", "SPDX-License-Identifier: Apache-2.0", "licensed under the GNU General Public License, version 3",
+        "Permission is hereby granted, free of charge, to any person", "Creative Commons Attribution 4.0 International License")[k % 3:k % 5 + 1])
+    low = text.lower()
+    found = sorted(((r.priority, m.start(), m.end(), r.label, r.confidence) for r in licenses.RULES for m in r.pattern.finditer(low)
+                    if r.keyword in low), key=lambda d: (d[0], d[1] - d[2], d[1], -d[4], d[3]))
+    kept = []
+    for d in found:
+        if not any(k[1] <= d[1] and d[2] <= k[2] for k in kept):
+            kept.append(d)
+    assert kept and licenses.detections(low) == sorted(d[1:] for d in kept)
+    import time
+    start = time.process_time()
+    licenses.detections("released under the mit license. " * 20_000)
+    assert time.process_time() - start < 10
