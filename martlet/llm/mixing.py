@@ -1,9 +1,8 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Each source has a weight that changes over the training clock, from 0 to 1: a base
-weight times a shape given at evenly spaced knots, linear between them, mean 1.  The
-integral of the weight is the source's demand; its share of all words is the source's
-target, but no more than ``most`` times the source's size: what is above is given to the
+weight times a shape given at evenly spaced knots, linear between them.  The integral of
+that weight is the source's demand; its share of all words is the source's target, but no more than ``most`` times the source's size: what is above is given to the
 others by weight until none is above.
 
 A source's documents follow each other in a fixed shuffled order, over and over, until
@@ -40,16 +39,23 @@ BROADCAST_SOURCES = 100_000
 SHAPES = ((0.5, 1.0, 1.5), (1.0, 1.0, 1.0), (1.5, 1.0, 0.5))
 
 
-def targets(sizes: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
-    """``source``, ``source_size`` with ``place``, ``weight`` and ``target``.
+def integral(shape: Sequence[float]) -> float:
+    """Of a shape over the clock, linear between its knots."""
+    return float(shape[0]) if len(shape) == 1 else (sum(shape) - (shape[0] + shape[-1]) / 2) / (len(shape) - 1)
+
+
+def targets(sizes: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), most: float = 3.0,
+            shapes: Sequence[Sequence[float]] = ((1.0,),)) -> DataFrame:
+    """``source``, ``source_size`` with ``place``, ``weight`` (base weight times the integral of its shape) and ``target``.
 
     Sources in the order of what they can take for their weight: those whose most is
     less than what a share of the rest would give them take their most, the others share.
     There is a row for each source, so one task orders them.
     """
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    listed = sizes.withColumn("place", place).withColumn(
-        "weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double"))
+    by_place = lambda values: F.element_at(
+        F.array(*map(F.lit, values)), (F.col("place") % len(values) + 1).cast("int")).cast("double")
+    listed = sizes.withColumn("place", place).withColumn("weight", by_place(weights) * by_place([integral(s) for s in shapes]))
     by_limit = W.orderBy(F.col("source_size") * most / F.col("weight"), "place")
     before = by_limit.rowsBetween(W.unboundedPreceding, -1)
     rest = listed.select(
@@ -127,7 +133,7 @@ def _planned(sized: DataFrame, weights, shapes, most: float) -> DataFrame:
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     shape = F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in shapes]), (F.col("place") % len(shapes) + 1).cast("int"))
     path = work_path(sized.sparkSession, "sources")
-    targets(by_source, weights, most).select(
+    targets(by_source, weights, most, shapes).select(
         F.col("source").alias("_llm_source"), F.col("place").alias("_llm_place"), "source_size", "target",
         shape.alias("_llm_shape"), F.ceil(F.col("rows") / PIECE).alias("_llm_pieces")).write.parquet(path)
     plan = sized.sparkSession.read.parquet(path)
@@ -146,7 +152,9 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes), positions."""
-    return mix(docs.select("doc_id", "text", "source")).select(
+    """doc_id, size, source_size, target, taken (words the mix takes), positions; sorted range by range by the first position."""
+    mixed = mix(docs.select("doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.size("positions")).cast("long").alias("taken"), "positions")
+    order = (F.asc_nulls_last(F.get("positions", F.lit(0))), "doc_id")  # those not taken last, parted by id
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)

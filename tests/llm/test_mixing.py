@@ -31,6 +31,26 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(plain_targets(sizes))
 
 
+def test_targets_follow_the_integral(spark, docs):
+    table = spark.createDataFrame([("a", 200), ("b", 200)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(table, (1, 1), 3.0, ((4, 4, 4), (1, 1, 1))).collect()}
+    assert got == pytest.approx({"a": 320, "b": 80})
+    ramp = {r["source"]: r["target"] for r in mixing.targets(table, (1, 2), 9.0, ((0, 3), (1, 0, 1))).collect()}
+    assert ramp == pytest.approx({"a": 400 * 1.5 / 2.5, "b": 400 * 1 / 2.5})
+    assert mixing.integral((0.5, 1.0, 1.5)) == 1.0 and mixing.integral((2.0,)) == 2.0
+    rows = [(k, prose(k, 40), None, "ab"[k % 2]) for k in range(200)]
+    taken = {}
+    for r in mixing.mix(docs(rows), (1, 1), ((4, 4, 4), (1, 1, 1))).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * len(r["positions"])
+    assert taken["a"] == pytest.approx(4 * taken["b"], rel=0.05)
+
+
+def test_query_is_sorted_by_first_position(docs):
+    rows = [(k, prose(k, 1 + k % 50), None, "abc"[k % 3]) for k in range(300)]
+    first = [r["positions"][0] if r["positions"] else 2.0 for r in mixing.digest(docs(rows)).collect()]
+    assert first == sorted(first) and len(first) == 300
+
+
 def test_mix_meets_targets_and_reruns_agree(docs, monkeypatch):
     monkeypatch.setattr(mixing, "PIECE", 7)
     rows = [(k, prose(k, 1 + k * 37 % 90), None, ["a", "b", "c", None][k * k % 4]) for k in range(300)]
