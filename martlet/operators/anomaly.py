@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from martlet.operators import robust
 from martlet.operators.features import standardise
-from martlet.operators.linalg import covariance, moments_matrix
 from martlet.operators.ranks import fixed_row, quantiles
 from martlet.session import cut_lineage, spread_out
 
@@ -118,31 +118,16 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], contamination:
     return _flag(cut_lineage(scored), contamination, "isolation forest")
 
 
-def _distance(columns, mean: np.ndarray, inverse: np.ndarray):
-    """Squared Mahalanobis distance as one expression."""
-    p = len(columns)
-    off = [f"(`{c}` - {float(m)!r}D)" for c, m in zip(columns, mean)]
-    terms = [f"{float(inverse[i, j]) * (1 if i == j else 2)!r}D * {off[i]} * {off[j]}"
-             for i in range(p) for j in range(i, p)]
-    return F.expr(" + ".join(terms))
-
-
 def elliptic_envelope(df: DataFrame, key: str, columns: list[str], contamination: float = CONTAMINATION,
-                      steps: int = 5) -> DataFrame:
-    """(key, score, is_anomaly): distance from a centre fitted to the densest half.
+                      starts: int = robust.STARTS) -> DataFrame:
+    """(key, score, is_anomaly): distance from the densest half of the rows (see ``robust``).
 
-    Each step keeps the half closest to the current centre and fits mean and
-    covariance to it; only p x p sums reach the driver.
+    Rows that span no volume all have score 0.
     """
     table, names = anomaly_table(df, key, columns)
-    kept = table
-    for _ in range(steps + 1):
-        n, sums, squares = moments_matrix(kept, names)
-        inverse = np.linalg.pinv(covariance(n, sums, squares))
-        scored = table.withColumn("score", _distance(names, sums / n, inverse))
-        half = quantiles(scored, [], "score", {"q": 0.5}).first()["q"]
-        kept = scored.where(F.col("score") <= half).select(*table.columns)
-    return _flag(scored.select(key, "score"), contamination, "elliptic envelope")
+    found = robust.densest_half(table, key, names, starts)
+    score = F.lit(0.0) if found is None else found.distance(names)
+    return _flag(table.select(key, score.alias("score")), contamination, "elliptic envelope")
 
 
 def one_class(df: DataFrame, key: str, columns: list[str], share: float = CONTAMINATION,
