@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from martlet.functions import amounts, bins, brands, specs, text, urls
 from martlet.operators import cleaning, features, validate
-from martlet.sources import links, pages
+from martlet.session import work_path
+from martlet.sources import frontier, links, pages
 from martlet.workload.registry import query
 
 PRICE = """TRY_CAST(CASE WHEN contains(k, ',') AND contains(k, '.') THEN replace(k, ',', '')
@@ -248,6 +249,38 @@ def product_links(t):
     return links.product_links(t.pages, max_products=None)
 
 
+#: Anchors that every page gets besides its own: links to products, some on several pages.
+WOVEN = ("/laptop/gaming-laptop-i7-16gb-ssd-", "/laptop/office-laptop-i5-8gb-ssd-")
+
+
+def _woven_pages(t):
+    anchors = [F.concat(F.lit(f'<a href="{path}'), F.pmod("page_id", F.lit(m)).cast("string"), F.lit('/x">p</a>'))
+               for path, m in zip(WOVEN, (211, 13))]
+    return t.pages.select(F.col("page_id"), "url", F.concat(F.coalesce("html", F.lit("")), *anchors).alias("html"))
+
+
+WOVEN_SQL = f"""l AS (SELECT url, concat('https://shop.example{WOVEN[0]}', page_id % 211, '/x') AS link FROM pages
+  UNION ALL SELECT url, concat('https://shop.example{WOVEN[1]}', page_id % 13, '/x') FROM pages)"""
+
+
+@query(f"WITH {WOVEN_SQL} SELECT DISTINCT link FROM l")
+def woven_product_links(t):
+    return links.product_links(_woven_pages(t))
+
+
+@query(f"""WITH {WOVEN_SQL}, o AS (SELECT link, min(url) AS seed FROM l GROUP BY 1),
+r AS (SELECT link, seed, row_number() OVER (PARTITION BY seed ORDER BY link) AS n FROM o)
+SELECT link, seed, CAST(n AS INT) AS round FROM r WHERE n <= 3""")
+def frontier_rounds(t):
+    """Three rounds with at most one new link for each page."""
+    root = work_path(t.spark, "frontier")
+    found = links.hrefs(_woven_pages(t)).where(urls.is_product_link(F.col("href"))).select(
+        F.col("url").alias("seed"), urls.normalize_url(F.col("href")).alias("link"))
+    for day in range(1, 4):
+        frontier.advance(found, root, f"2024-01-0{day}", per_seed=1)
+    return frontier.seen(t.spark, root).drop("cut")
+
+
 @query("""SELECT DISTINCT concat('https://shop.example', replace(pat, '{}', slug)) AS url, pattern FROM (
   SELECT lower(category) AS slug FROM products),
   (VALUES ('/kategoria/{}', 0), ('/category/{}', 1), ('/c/{}', 2), ('/{}', 3)) AS p(pat, pattern)""")
