@@ -70,11 +70,8 @@ def _codes(values: DataFrame, pieces: int = 512) -> DataFrame:
     # one row for each column, the second time with about so many pieces of its values
     drawn = values.join(F.broadcast(shares), "column").where(F.pmod(F.xxhash64("value"), F.col("every")) == 0)
     cuts = drawn.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("cuts"))
-    cut = values.join(F.broadcast(cuts), "column", "left").withColumn("piece", F.lit(0))
-    at = F.col("piece")
-    for k in reversed(range((4 * pieces).bit_length())):
-        cut = cut.withColumn("piece", F.when(F.get("cuts", at + (1 << k) - 1) <= F.col("value"), at + (1 << k)).otherwise(at))
-    cut = cut.drop("cuts")
+    below = F.size(F.filter("cuts", lambda c: c <= F.col("value")))
+    cut = values.join(F.broadcast(cuts), "column", "left").select("column", "value", F.greatest(below, F.lit(0)).alias("piece"))
     before = Window.partitionBy("column").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (cut.groupBy("column", "piece").agg(F.count(F.lit(1)).alias("held"))
                .select("column", "piece", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("below")))

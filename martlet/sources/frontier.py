@@ -30,12 +30,9 @@ def _cuts(links: DataFrame, root: str, as_of: str, n: int) -> list[str]:
 
 
 def _ranged(links: DataFrame, cuts: list[str]) -> DataFrame:
-    """With ``cut``: how many of the cuts are not above the link, found by halving."""
-    df = links.withColumns({"_cuts": F.array(*map(F.lit, cuts)).cast("array<string>"), "cut": F.lit(0)})
-    at = F.col("cut")
-    for k in reversed(range(len(cuts).bit_length())):
-        df = df.withColumn("cut", F.when(F.get("_cuts", at + (1 << k) - 1) <= F.col("link"), at + (1 << k)).otherwise(at))
-    return df.drop("_cuts")
+    """With ``cut``: how many of the cuts are not above the link."""
+    points = F.array(*map(F.lit, cuts)).cast("array<string>")
+    return links.withColumn("cut", F.size(F.filter(points, lambda c: c <= F.col("link"))))
 
 
 def seen(spark: SparkSession, root: str, cuts: list[int] | None = None) -> DataFrame:
