@@ -36,11 +36,12 @@ def stream_weekly_activity(t):
     return jobs.run_available(stream, "update", ["start", "event_type"])
 
 
-def _in_files(t, df, files: int, label: str):
-    """A stream of ``df`` that brings one of several files per batch."""
+def _in_files(t, df, batches: int, label: str):
+    """A stream of ``df`` in so many batches, each of as many files as a shuffle has parts to share."""
     path = work_path(t.spark, label)
-    df.repartition(files, "user_id" if "user_id" in df.columns else df.columns[0]).write.parquet(path)
-    return jobs.read_stream(t.spark, path, "parquet", df.schema, "*.parquet", maxFilesPerTrigger=1)
+    each = max(1, int(t.spark.conf.get("spark.sql.shuffle.partitions")) // batches)
+    df.repartition(batches * each, "user_id" if "user_id" in df.columns else df.columns[0]).write.parquet(path)
+    return jobs.read_stream(t.spark, path, "parquet", df.schema, "*.parquet", maxFilesPerTrigger=each)
 
 
 @query("SELECT DISTINCT event_type, CAST(user_id % 7 AS INT) AS class FROM events")

@@ -115,3 +115,17 @@ def test_days_past_the_window_leave_the_state(spark, tmp_path):
     ended = {(k, day) for k, day, n, _ in seen if n == 0}
     first = 19723  # 2024-01-01 in days
     assert {("p1", first), ("p2", first + 1), ("all", first), ("all", first + 1)} <= ended and ("p30", first + 29) not in ended
+
+
+def test_batches_of_several_files(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from martlet.workload import streams
+    rows = spark.range(4000).selectExpr("id", "id % 7 AS v")
+    seen = []
+    query = (streams._in_files(SimpleNamespace(spark=spark), rows, 2, "several").writeStream
+             .foreachBatch(lambda batch, number: seen.append(
+                 (batch.select(F.input_file_name()).distinct().count(), batch.count())))
+             .option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert [files for files, _ in seen] == [2, 2] and sum(n for _, n in seen) == 4000  # 4 shuffle partitions
