@@ -134,3 +134,14 @@ def test_schema_reads_raw_rows(spark):
     assert cleaning.fill_zero(typed).first()["price"] == 0.0
     assert cleaning.time_parts(spark.sql("SELECT timestamp'2024-01-06 05:00:00' AS scraped_at")).first()[
         "scraped_day_of_week"] == "Saturday"
+
+
+def test_text_exports_are_compressed_and_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "TEXT_ROWS", 400)
+    df = spark.range(1000).selectExpr("id", "concat('title of ', id) AS title").coalesce(1)
+    done = sinks.export(df, str(tmp_path), "r1", ("json", "csv"))
+    for path, ending in ((done["json"], "*.json.gz"), (done["csv"], "*.csv.gz")):
+        from pathlib import Path
+        assert len(list(Path(path).glob(ending))) == 3
+    assert spark.read.json(done["json"]).distinct().count() == 1000
+    assert spark.read.option("header", True).csv(done["csv"]).distinct().count() == 1000
