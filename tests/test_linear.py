@@ -85,3 +85,15 @@ def test_price_models_judge_lines_and_trees_together(spark):
     assert all(r["cv_r2_std"] is not None and r["mae"] <= r["rmse"] for r in table.values())
     assert "moments" in table["lasso"]["method"]
     data.release()
+
+
+def test_features_are_kept_before_they_are_looked_at(spark, monkeypatch):
+    from martlet.operators import regression
+    seen, plain = [], regression.useful_columns
+    monkeypatch.setattr(regression, "useful_columns", lambda df, names: seen.append(df.storageLevel.useMemory) or plain(df, names))
+    rows = [(k, float(k), float(k % 5) if k % 3 else None, 4 if k % 2 else None) for k in range(60)]
+    data = regression.model_data(spark.createDataFrame(rows, "id long, price double, rating double, reviews_count int"), split_key="id")
+    assert seen == [True]
+    assert "rating" in data.features and "reviews_count" not in data.features  # one value beside missing ones is no feature
+    assert data.train.where("rating IS NULL").count() == 0
+    data.release()
