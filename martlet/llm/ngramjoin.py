@@ -37,13 +37,15 @@ from pyspark.sql import functions as F
 from martlet.llm.blocks import bucket_bits
 from martlet.llm.words import texts_of, windows, word_hashes
 from martlet.operators.components import components
-from martlet.session import work_path
+from martlet.session import arrow_bytes, work_path
 
 SIZE, PERCENT = 5, 80
-#: Entries of a block of rows; entries that stream past one block; cells of a product held at once.
+#: Entries of a block of rows; entries that stream past one block; cells of a product, and matches of entries, held at once.
 BLOCK_ENTRIES, STREAM_ENTRIES, CELLS = 1 << 20, 1 << 21, 1 << 20
 #: Rows that are held as one block in the second round.
 BLOCK_ROWS = 256
+#: Rows are sent to Python in batches of this size, a block alone.
+BATCH_BYTES = 8 << 20
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
@@ -255,12 +257,19 @@ class _Held:
             row = np.repeat(np.arange(len(part)), [len(r[3]) // 8 for r in part])
             low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
             n = high - low
-            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            overlap = np.bincount(np.repeat(row, n) * len(self.nodes) + self.row[at], minlength=len(part) * len(self.nodes))
-            overlap = overlap.reshape(len(part), len(self.nodes))
-            found = 100 * overlap >= percent * (sizes[:, None] + self.sizes[None, :] - overlap)
-            for s, h in zip(*np.nonzero(found)):
-                yield start + int(s), int(h)
+            total = np.cumsum(np.bincount(row, n, len(part)).astype(np.int64))
+            first = 0
+            while first < len(part):  # rows whose matches can be listed at once
+                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + CELLS, "right")))
+                cut = slice(*np.searchsorted(row, [first, last]).tolist())
+                times = n[cut]
+                at = np.repeat(low[cut] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                cell = np.repeat(row[cut] - first, times) * len(self.nodes) + self.row[at]
+                overlap = np.bincount(cell, minlength=(last - first) * len(self.nodes)).reshape(last - first, len(self.nodes))
+                found = 100 * overlap >= percent * (sizes[first:last, None] + self.sizes[None, :] - overlap)
+                for s, h in zip(*np.nonzero(found)):
+                    yield start + first + int(s), int(h)
+                first = last
 
 
 def _product(roles: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -335,12 +344,13 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, component_id) for each document."""
     blocks = incidence(docs, size)
-    rows, path = _with_partners(blocks, percent)
-    n, before = rows.count(), None
-    while before is None or 0 < n < 0.9 * before:
-        rows, _ = _with_partners(_blocked(rows), percent)
-        n, before = rows.count(), n
-    links = _links(rows, percent)
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        rows, path = _with_partners(blocks, percent)
+        n, before = rows.count(), None
+        while before is None or 0 < n < 0.9 * before:
+            rows, _ = _with_partners(_blocked(rows), percent)
+            n, before = rows.count(), n
+        links = _links(rows, percent)
     listed = docs.sparkSession.read.schema(blocks.schema).parquet(path).select(F.explode(F.arrays_zip("doc_ids", "ns", "nodes")).alias("d")).select(
         F.col("d.doc_ids").alias("doc_id"), F.col("d.ns").alias("n"), F.col("d.nodes").alias("node"))
     firsts = listed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))

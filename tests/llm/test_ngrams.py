@@ -1,9 +1,11 @@
 """Token alignment, collocations and the n-gram join, held against plain Python."""
 
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from martlet.llm import alignment, blocks, collocations, ngramjoin
@@ -229,3 +231,23 @@ def test_digest_columns(spark):
     assert collocations.collocations(empty).dtypes == [("lang", "string"), ("rank", "bigint"), ("phrase", "string"), ("a", "bigint"), (
         "l", "bigint"), ("r", "bigint"), ("n", "bigint"), ("score", "bigint")]
     assert [c for c, _ in alignment.digest(empty).dtypes] == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_product_of_near_copies_is_bounded():
+    key = np.arange(2000, dtype=np.uint64)
+    held = ngramjoin._Held([(b"h%d" % i, None, 2000, key.tobytes()) for i in range(64)])
+    stream = [(b"s%d" % i, None, 2000, np.append(key[i:], key[:i] + np.uint64(2000)).tobytes()) for i in range(100)]
+    tracemalloc.start()
+    found = list(held.links(stream, 80))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(s, h) for s in range(100) for h in range(64)]
+    assert peak < 100e6  # 12.8 million matches; all at once take 300 MB
+
+
+def test_blocks_come_in_batches_of_their_own(spark, docs):
+    with ngramjoin.arrow_bytes(spark, ngramjoin.BATCH_BYTES):
+        found = spark.range(0, 6, 1, 1).selectExpr("repeat('x', 9000000) AS t").mapInArrow(
+            lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert [r["n"] for r in found] == [1] * 6
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"
