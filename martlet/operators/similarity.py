@@ -11,9 +11,10 @@ similarity of two keys is the dot product.
 3. A profile at least that similar must share one of the rarest features of the
    probing profile: the features beyond its *prefix* are too light to reach the
    bound.  Only postings of prefix features are looked at.
-4. Postings of a frequent feature are cut into chunks of bounded size; a task
-   multiplies one chunk of probes with one chunk of postings and returns the k+1
-   best per probe.
+4. Postings of a frequent feature are cut into spans of bounded size; a task
+   holds one span of probes and one span of postings, multiplies them chunk by
+   chunk and returns the k+1 best per probe.  Spans grow with the table, so a row
+   is sent to about ``PARTS`` spans until these reach their bound.
 
 Nothing is capped: bounds only leave out pairs that cannot be in the answer.
 """
@@ -29,18 +30,20 @@ from martlet.operators.topk import best_per_group
 from martlet.session import cut_lineage
 
 DIGITS = 6  # similarities equal to this many digits are ties
+#: Spans that the postings of a feature held by all profiles are cut into; chunks in a span at most.
+PARTS, MOST_CHUNKS = 8, 32
 _SLACK = 1e-5
 
 
 def _dense(ids, weights, columns: np.ndarray) -> np.ndarray:
     """Rows of (ids, weights) lists as a matrix over the given feature ids."""
     out = np.zeros((len(ids), len(columns)))
-    for row, (i, w) in enumerate(zip(ids, weights)):
-        i = np.asarray(i)
-        spots = np.searchsorted(columns, i)
-        known = spots < len(columns)
-        known[known] = columns[spots[known]] == i[known]
-        out[row, spots[known]] = np.asarray(w)[known]
+    if out.size:
+        flat, w = (np.concatenate([np.asarray(x) for x in lists]) for lists in (ids, weights))
+        row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+        spots = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+        known = columns[spots] == flat
+        out[row[known], spots[known]] = w[known]
     return out
 
 
@@ -89,38 +92,73 @@ def _bounds(profiles: DataFrame, k: int, chunk: int) -> DataFrame:
     return ordered.mapInPandas(bound, schema)
 
 
-def _blocks(probes: DataFrame, chunk: int):
-    """Feature groups with the number of probe and posting chunks of each."""
+def _blocks(probes: DataFrame, span: int):
+    """Feature groups with the number of probe and posting spans of each."""
     uses = probes.select(F.posexplode("ids").alias("at", "fid"), "prefix").groupBy("fid").agg(
         F.count(F.lit(1)).alias("held"), F.count_if(F.col("at") < F.col("prefix")).alias("probed"))
-    # one row per feature; small features share a group of about one chunk
-    fill = F.sum(F.least("held", F.lit(chunk))).over(
+    # one row per feature; small features share a group of about one span
+    fill = F.sum(F.least("held", F.lit(span))).over(
         Window.orderBy("fid").rowsBetween(Window.unboundedPreceding, -1))
     grouped = uses.where("probed > 0").select(
-        "fid", "held", "probed", F.floor(F.coalesce(fill, F.lit(0)) / chunk).alias("g"))
+        "fid", "held", "probed", F.floor(F.coalesce(fill, F.lit(0)) / span).alias("g"))
     per = Window.partitionBy("g")
 
     def parts(c):
-        return F.ceil(F.sum(c).over(per) / chunk).cast("int")
+        return F.ceil(F.sum(c).over(per) / span).cast("int")
 
     return grouped.select("fid", "g", parts("probed").alias("p_parts"), parts("held").alias("d_parts"))
 
 
-def _score(k: int):
+_PAYLOAD = ["pid", "first_key", "ids", "weights"]
+
+
+def _sides(probes: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Probes and postings, each row once for every span of the other side."""
+    span = min(max(chunk, -(-probes.count() // PARTS)), MOST_CHUNKS * chunk)
+    blocks = cut_lineage(_blocks(probes, span))
+
+    def side(prefix_only: bool):
+        at = probes.select("pid", "prefix", F.posexplode("ids").alias("at", "fid"))
+        if prefix_only:
+            at = at.where(F.col("at") < F.col("prefix"))
+        return (at.select("pid", "fid").join(blocks, "fid")
+                .select("pid", "g", "p_parts", "d_parts").distinct()
+                .join(probes.select(*_PAYLOAD), "pid"))
+
+    def spread(df, mine: str, other: str, mine_parts: str, other_parts: str):
+        own = F.pmod(F.xxhash64("pid"), F.col(mine_parts)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1))
+        # fresh aliases: both sides come from the same table
+        return df.select(*[F.col(c).alias(f"{mine}_{c}") for c in ("g", *_PAYLOAD)],
+                         own.alias(f"{mine}_{mine}"), every.alias(f"{mine}_{other}"))
+
+    return (spread(side(True), "pc", "dc", "p_parts", "d_parts"),
+            spread(side(False), "dc", "pc", "d_parts", "p_parts"))
+
+
+def _score(k: int, chunk: int):
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The k+1 best of ``right`` for each of a chunk of probes; of equals, the first."""
+        columns = np.unique(np.concatenate([np.asarray(i) for i in left["ids"]]))
+        m, a, b = _dense(left["ids"], left["weights"], columns), left["pid"].to_numpy(), right["pid"].to_numpy()
+        top, spots = np.zeros((len(a), 0)), np.zeros((len(a), 0), int)
+        for start in range(0, len(right), chunk):
+            part = right.iloc[start:start + chunk]
+            sims = np.round(m @ _dense(part["ids"], part["weights"], columns).T, DIGITS)
+            sims[a[:, None] == b[None, start:start + chunk]] = -1.0
+            top = np.concatenate([top, sims], axis=1)
+            spots = np.concatenate([spots, np.broadcast_to(np.arange(start, start + len(part)), sims.shape)], axis=1)
+            order = np.argsort(-top, axis=1, kind="stable")[:, :k + 1]
+            top, spots = np.take_along_axis(top, order, axis=1), np.take_along_axis(spots, order, axis=1)
+        rows, cols = np.nonzero(top > 0)
+        return pd.DataFrame({"pid_a": a[rows], "pid_b": b[spots[rows, cols]], "sim": top[rows, cols]})
+
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"pid_a": [], "pid_b": [], "sim": []})
         left, right = left.rename(columns=lambda c: c[3:]), right.rename(columns=lambda c: c[3:])
         right = right.sort_values("first_key", kind="stable")
-        columns = np.unique(np.concatenate([np.asarray(i) for i in left["ids"]]))
-        sims = np.round(_dense(left["ids"], left["weights"], columns)
-                        @ _dense(right["ids"], right["weights"], columns).T, DIGITS)
-        a, b = left["pid"].to_numpy(), right["pid"].to_numpy()
-        sims[a[:, None] == b[None, :]] = -1.0
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k + 1]
-        top = np.take_along_axis(sims, order, axis=1)
-        rows, cols = np.nonzero(top > 0)
-        return pd.DataFrame({"pid_a": a[rows], "pid_b": b[order[rows, cols]], "sim": top[rows, cols]})
+        return pd.concat([nearest(left.iloc[s:s + chunk], right) for s in range(0, len(left), chunk)])
     return best
 
 
@@ -132,29 +170,10 @@ def most_similar(long: DataFrame, key: str, k: int = 10, feature: str = "feature
     """
     keys, members, profiles = _profiles(long, key, feature, weight, k)
     probes = cut_lineage(_bounds(profiles, k, chunk))
-    blocks = cut_lineage(_blocks(probes, chunk))
-    payload = ["pid", "first_key", "ids", "weights"]
-
-    def side(prefix_only: bool):
-        at = probes.select(*payload, "prefix", F.posexplode("ids").alias("at", "fid"))
-        if prefix_only:
-            at = at.where(F.col("at") < F.col("prefix"))
-        return (at.select("pid", "fid").join(blocks, "fid")
-                .select("pid", "g", "p_parts", "d_parts").distinct()
-                .join(probes.select(*payload), "pid"))
-
-    def spread(df, mine: str, other: str, mine_parts: str, other_parts: str):
-        own = F.pmod(F.xxhash64("pid"), F.col(mine_parts)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1))
-        # fresh aliases: both sides come from the same table
-        return df.select(*[F.col(c).alias(f"{mine}_{c}") for c in ("g", *payload)],
-                         own.alias(f"{mine}_{mine}"), every.alias(f"{mine}_{other}"))
-
-    left = spread(side(True), "pc", "dc", "p_parts", "d_parts")
-    right = spread(side(False), "dc", "pc", "d_parts", "p_parts")
+    left, right = _sides(probes, chunk)
     scored = (left.groupBy("pc_g", "pc_pc", "pc_dc")
               .cogroup(right.groupBy("dc_g", "dc_pc", "dc_dc"))
-              .applyInPandas(_score(k), "pid_a string, pid_b string, sim double"))
+              .applyInPandas(_score(k, chunk), "pid_a string, pid_b string, sim double"))
     pairs = scored.groupBy("pid_a", "pid_b").agg(F.max("sim").alias("sim"))
     own = profiles.select(
         F.col("pid").alias("pid_a"), F.col("pid").alias("pid_b"),

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from martlet.operators import recommend
+from martlet.operators import recommend, similarity
 from martlet.operators.similarity import most_similar
 
 
@@ -43,6 +43,14 @@ def test_equals_all_pairs(spark, kind, chunk):
         assert [h[2] for h in have] == pytest.approx([-w[0] for w in want], abs=2e-6)
 
 
+def test_rows_are_sent_to_few_spans(spark):
+    n, chunk = 320, 8
+    rows = [(f"p{i}", i, [0, 1 + i], [0.6, 0.8], 2) for i in range(n)]  # one feature in every row
+    probes = spark.createDataFrame(rows, "pid string, first_key long, ids array<int>, weights array<double>, prefix int")
+    for side in similarity._sides(probes, chunk):
+        assert side.count() <= n * (similarity.PARTS + 4)  # n * n / chunk = 40 a row if spans were of one chunk
+
+
 def products(spark, rows):
     return spark.createDataFrame(
         rows, "product_id long, title string, brand string, category string, price double, rating double, "
