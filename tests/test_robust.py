@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from martlet.operators import anomaly, robust
 
@@ -63,3 +64,22 @@ def test_degenerate_rows(spark):
     flat = spark.createDataFrame([(k, 1.0, 2.0) for k in range(20)], "id long, a double, b double")
     rows = anomaly.elliptic_envelope(flat, "id", ["a", "b"]).collect()
     assert len(rows) == 20 and not any(r["is_anomaly"] for r in rows)
+
+
+def test_halves_end_exactly_and_keep_ties(spark):
+    x = np.random.default_rng(8).normal(size=(40_000, 2)).round(2)
+    df, names = table(spark, x)
+    fit = robust.Ellipse(np.array([0.1, 0.0]), np.diag([1.0, 2.0]))
+    off = x - fit.centre
+    far = (off @ np.linalg.inv(fit.covariance) * off).sum(axis=1)
+    near = x[far <= np.sort(far)[20_001 - 1] * (1 + 1e-9)]
+    (got,) = robust.concentrated(df, names, [fit], 20_001 / 40_000)
+    assert got.centre == pytest.approx(near.mean(axis=0), abs=1e-12)
+    assert got.covariance == pytest.approx(np.cov(near.T, bias=True), abs=1e-12)
+
+
+def test_rows_go_to_python_in_blocks(spark):
+    df, names = table(spark, np.random.default_rng(1).normal(size=(5000, 2)))
+    blocks = robust.packed(df, names)
+    assert blocks.columns == ["block"] and blocks.count() <= df.rdd.getNumPartitions()
+    assert blocks.select(F.sum(F.length("block"))).first()[0] == 5000 * 2 * 8
