@@ -79,6 +79,19 @@ def test_clusters(spark):
     assert clustering.choose_k(table.limit(9)) == (None, None)
 
 
+def test_silhouettes_of_all_groupings_in_two_scans(spark):
+    dice = np.random.default_rng(3)
+    x = np.vstack([dice.normal(c, 0.5, (60, 2)) for c in ((0, 0), (5, 5), (0, 5))] + [[[40.0, 40.0]]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "price double, rating double").repartition(3)
+    table, _ = clustering.cluster_table(df)
+    scores, _ = clustering.choose_k(table)
+    for r in scores.collect():
+        labelled = clustering.KMeans(k=r["k"], seed=clustering.SEED, featuresCol="z", predictionCol="cluster").fit(table).transform(table)
+        assert r["silhouette_squared_euclidean"] == pytest.approx(clustering.silhouette(labelled, "cluster"), abs=1e-9)
+    blocks = clustering.packed(df, ["price", "rating"])
+    assert clustering.silhouettes(blocks, {1: np.zeros((1, 2)), 2: np.array([[0.0, 0.0], [90.0, 90.0]])})[1][1] is None
+
+
 def test_small_matrices(spark):
     x = np.random.default_rng(4).normal(size=(200, 4)) @ np.diag([5, 2, 1, 0.1]) + 1
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double")
