@@ -2,7 +2,7 @@
 
 Texts are lower-cased (A-Z), cut into pieces at ``. , ; : ! ?`` and line ends, and pieces
 into words at spaces and tabs.  Each task gathers the words of one language into shards
-of some SHARD_WORDS words, numbers them, and indexes the shard in both directions: the
+of up to some SHARD_WORDS words, numbers them, and indexes the shard in both directions: the
 Burrows-Wheeler transform of the numbers (ordered by the DEPTH symbols that follow) with
 symbol ranks.  An interval of the order stands for an n-gram; extending it to the left
 gives the intervals of all longer n-grams with their counts, and keeps in step the interval
@@ -35,9 +35,10 @@ from martlet.llm.words import mix, texts_of
 from martlet.session import work_path
 
 LEAST, DEPTH, TOP = 10, 3, 2000
-SHARD_WORDS = 1 << 20
+#: Words of a shard, and of all the shards that a task has open.
+SHARD_WORDS = 1 << 18
 #: Counted keys that a task gathers before it sends them.
-HELD_KEYS = 1 << 21
+HELD_KEYS = 1 << 20
 
 _STOPS = b".,;:!?\n\x0b\x0c\r"
 _LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _STOPS, b"abcdefghijklmnopqrstuvwxyz " + b"." * len(_STOPS))
@@ -114,12 +115,17 @@ def trigram_keys(left: np.ndarray, middle: np.ndarray, right: np.ndarray) -> np.
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     open_: dict[str, Shard] = {}
+    words = 0
     for batch in batches:
         for lang, raw in zip(batch.column("lang").to_pylist(), texts_of(batch, "text")):
             shard = open_.get(lang) or open_.setdefault(lang, Shard(lang))
+            words -= shard.size
             shard.add(raw or b"")
-            if shard.size >= SHARD_WORDS:
-                yield open_.pop(lang)
+            words += shard.size
+            if words >= SHARD_WORDS:  # many languages hold no more than one does
+                largest = max(open_.values(), key=lambda s: s.size)
+                words -= largest.size
+                yield open_.pop(largest.lang)
     yield from open_.values()
 
 

@@ -131,6 +131,30 @@ def test_collocations(spark, docs, monkeypatch, shard):
         assert sorted(map(tuple, collocations.collocations(docs(rows), least).collect())) == mined_plainly(rows, least)
 
 
+def test_many_languages_hold_no_more_words_than_one(monkeypatch):
+    assert collocations.SHARD_WORDS <= 1 << 18 and collocations.HELD_KEYS <= 1 << 20  # what an executor's memory allows
+    monkeypatch.setattr(collocations, "SHARD_WORDS", 100)
+    lines = [(f"l{k % 40}", "some words " * 10) for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in lines]), pa.array([t for _, t in lines])], ["lang", "text"])
+    given, most = [], []
+
+    class Counted(collocations.Shard):
+        made = []
+
+        def __init__(self, lang):
+            super().__init__(lang)
+            self.made.append(self)
+
+        def add(self, raw):
+            super().add(raw)
+            most.append(sum(s.size for s in self.made if s not in given))
+
+    monkeypatch.setattr(collocations, "Shard", Counted)
+    for shard in collocations._shards(iter([batch])):
+        given.append(shard)
+    assert max(most) <= 120 and sum(s.size for s in given) == 200 * 20
+
+
 def test_collocations_of_odd_tables(spark, docs):
     assert collocations.collocations(docs([])).count() == 0
     odd = spark.createDataFrame([("a b", "en", 1, "x")] * 12, "text string, lang string, n int, phrase string")
