@@ -1,6 +1,7 @@
 """Models, anomalies, forecasts, streams, runs: invariants and known answers."""
 
 import json
+import threading
 
 import numpy as np
 import pytest
@@ -51,6 +52,33 @@ def test_linear_models_match_their_objectives(spark):
     assert metrics["linear_regression"] > 0.95
 
 
+def test_feature_table_has_few_parts(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        data = linear_data(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert data.train.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert data.train.count() + data.test.count() == 400
+    data.release()
+
+
+def test_boosters_are_fitted_side_by_side(spark, monkeypatch):
+    data, met = linear_data(spark), threading.Barrier(2)
+    fit = regression.GBTRegressor.fit
+
+    def waiting(self, *args):
+        met.wait(60)  # passes only when both are under way
+        return fit(self, *args)
+
+    monkeypatch.setattr(regression.GBTRegressor, "fit", waiting)
+    trained = regression.train(data, ("gradient_boosting", "catboost"), rounds=2)
+    assert list(trained.models) == list(trained.methods) == ["gradient_boosting", "catboost"]
+    assert [m.stages[-1].getMaxDepth() for m in trained.models.values()] == [3, 6]
+    data.release()
+
+
 def test_anomalies_find_planted_rows(spark, tmp_path):
     dice = np.random.default_rng(9)
     x = np.vstack([dice.normal(size=(380, 3)), dice.normal(size=(20, 3)) * 0.3 + 9])
