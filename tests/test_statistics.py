@@ -1,11 +1,14 @@
 """Edge tables for the statistics, against numpy and pandas."""
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from martlet.operators import charts, correlation, outliers, profile, quality, ranks
+from martlet.plans import full_run
 
 
 def frame(spark, values):
@@ -103,3 +106,27 @@ def test_group_key_null_is_dropped(spark):
     df = spark.createDataFrame([(None, 1.0), ("a", 2.0), ("a", 4.0)], "category string, price double")
     assert [tuple(r) for r in profile.price_by(df, "category").collect()] == [("a", 3.0, 3.0, 2)]
     assert df.where(F.col("category").isNull()).count() == 1
+
+
+def test_spearman_ranks_among_the_rows_that_hold_both(spark):
+    rows = [(float(i * 7 % 11), None if i % 4 == 0 else float(i % 3), None if i % 5 == 0 else -0.0 if i % 2 else 0.0, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    found = correlation.spearman_pairs(df)
+    assert "pair" not in found._jdf.queryExecution().optimizedPlan().toString()  # no copy of a row for each pair
+    got = {(r["variable1"], r["variable2"]): r["spearman"] for r in found.collect()}
+
+    def ranks(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    assert len(got) == 6
+    for (i, one), (j, two) in combinations(enumerate("abcd"), 2):
+        held = np.array([(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None])
+        x, y = ranks(held[:, 0]), ranks(held[:, 1])
+        assert (got[one, two] is None) if x.std() * y.std() == 0 else abs(got[one, two] - np.corrcoef(x, y)[0, 1]) < 1e-9
+
+
+def test_chart_tables_read_stored_rows(spark):
+    df = spark.createDataFrame([(float(i), i % 5 / 1.0, f"c{i % 3}", f"b{i % 2}") for i in range(50)], "price double, rating double, category string, brand string")
+    tables = full_run.chart_tables(df)
+    assert tables["price_box"].count() == 1
+    assert all("/charts-" in f for t in (tables["price_density"], tables["brand_share"], tables["completeness"]) for f in t.inputFiles() or [""])
