@@ -12,8 +12,9 @@ similarity of two keys is the dot product.
    probing profile: the features beyond its *prefix* are too light to reach the
    bound.  Only postings of prefix features are looked at.
 4. Postings of a frequent feature are cut into spans of bounded size; a task
-   holds one span of probes and one span of postings, multiplies them chunk by
-   chunk and returns the k+1 best per probe.  Spans grow with the table, so a row
+   holds one span of probes and one span of postings, multiplies the rows that
+   share a prefix feature chunk by chunk, keeps what reaches the bound and returns
+   the k+1 best per probe.  Spans grow with the table, so a row
    is sent to about ``PARTS`` spans until these reach their bound.
 
 Nothing is capped: bounds only leave out pairs that cannot be in the answer.
@@ -65,8 +66,8 @@ def _profiles(long: DataFrame, key: str, feature: str, weight: str, k: int):
 
 
 def _bounds(profiles: DataFrame, k: int, chunk: int) -> DataFrame:
-    """Add ``prefix``: how many of the rarest features must be probed."""
-    schema = "pid string, first_key string, ids array<int>, weights array<double>, prefix int"
+    """Add ``prefix``: how many of the rarest features must be probed, and ``least``: what a neighbour must reach."""
+    schema = "pid string, first_key string, ids array<int>, weights array<double>, prefix int, least double"
     first_type = profiles.schema["first_key"].dataType.simpleString()
     schema = schema.replace("first_key string", f"first_key {first_type}")
 
@@ -86,9 +87,9 @@ def _bounds(profiles: DataFrame, k: int, chunk: int) -> DataFrame:
                     w = np.asarray(w)
                     rest = np.sqrt(np.cumsum((w * w)[::-1])[::-1])  # length from here on
                     prefix.append(int((rest >= least - _SLACK).sum()))
-                yield part.assign(prefix=prefix)
+                yield part.assign(prefix=prefix, least=reach - _SLACK)
 
-    ordered = profiles.repartitionByRange("ids", "pid").sortWithinPartitions("ids", "pid")
+    ordered = profiles.repartitionByRange("ids", "weights", "pid").sortWithinPartitions("ids", "weights", "pid")
     return ordered.mapInPandas(bound, schema)
 
 
@@ -109,9 +110,6 @@ def _blocks(probes: DataFrame, span: int):
     return grouped.select("fid", "g", parts("probed").alias("p_parts"), parts("held").alias("d_parts"))
 
 
-_PAYLOAD = ["pid", "first_key", "ids", "weights"]
-
-
 def _sides(probes: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
     """Probes and postings, each row once for every span of the other side."""
     span = min(max(chunk, -(-probes.count() // PARTS)), MOST_CHUNKS * chunk)
@@ -123,42 +121,69 @@ def _sides(probes: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
             at = at.where(F.col("at") < F.col("prefix"))
         return (at.select("pid", "fid").join(blocks, "fid")
                 .select("pid", "g", "p_parts", "d_parts").distinct()
-                .join(probes.select(*_PAYLOAD), "pid"))
+                .join(probes, "pid"))
 
     def spread(df, mine: str, other: str, mine_parts: str, other_parts: str):
         own = F.pmod(F.xxhash64("pid"), F.col(mine_parts)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1))
         # fresh aliases: both sides come from the same table
-        return df.select(*[F.col(c).alias(f"{mine}_{c}") for c in ("g", *_PAYLOAD)],
+        return df.select(*[F.col(c).alias(f"{mine}_{c}") for c in ("g", *probes.columns)],
                          own.alias(f"{mine}_{mine}"), every.alias(f"{mine}_{other}"))
 
     return (spread(side(True), "pc", "dc", "p_parts", "d_parts"),
             spread(side(False), "dc", "pc", "d_parts", "p_parts"))
 
 
+def _best_spots(row, spot, sim, most: int):
+    """The ``most`` best (row, spot, similarity) of each row; of equals, the first spot."""
+    order = np.lexsort((spot, -sim, row))
+    row, spot, sim = row[order], spot[order], sim[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[nth < most], spot[nth < most], sim[nth < most]
+
+
 def _score(k: int, chunk: int):
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The k+1 best of ``right`` for each of a chunk of probes; of equals, the first."""
+    def nearest(left: pd.DataFrame, right: pd.DataFrame, flat: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
+        """The k+1 best of ``right`` for each of a chunk of probes; of equals, the first.
+
+        Only rows with a feature that some probe must look at are multiplied, and only
+        similarities that reach what a probe has found before are kept.
+        """
         columns = np.unique(np.concatenate([np.asarray(i) for i in left["ids"]]))
+        probed = np.unique(np.concatenate([np.asarray(i)[:n] for i, n in zip(left["ids"], left["prefix"])]))
+        looked = np.zeros(max(flat.max(), probed.max()) + 1, bool)
+        looked[probed] = True
+        met = np.flatnonzero(np.logical_or.reduceat(looked[flat], starts))
         m, a, b = _dense(left["ids"], left["weights"], columns), left["pid"].to_numpy(), right["pid"].to_numpy()
-        top, spots = np.zeros((len(a), 0)), np.zeros((len(a), 0), int)
-        for start in range(0, len(right), chunk):
-            part = right.iloc[start:start + chunk]
-            sims = np.round(m @ _dense(part["ids"], part["weights"], columns).T, DIGITS)
-            sims[a[:, None] == b[None, start:start + chunk]] = -1.0
-            top = np.concatenate([top, sims], axis=1)
-            spots = np.concatenate([spots, np.broadcast_to(np.arange(start, start + len(part)), sims.shape)], axis=1)
-            order = np.argsort(-top, axis=1, kind="stable")[:, :k + 1]
-            top, spots = np.take_along_axis(top, order, axis=1), np.take_along_axis(spots, order, axis=1)
-        rows, cols = np.nonzero(top > 0)
-        return pd.DataFrame({"pid_a": a[rows], "pid_b": b[spots[rows, cols]], "sim": top[rows, cols]})
-
-    def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        least, most = left["least"].to_numpy(float).copy(), k + 1
+        ids, weights = right["ids"].to_numpy(), right["weights"].to_numpy()
+        row, spot, sim = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        for start in range(0, len(met), chunk):
+            part = met[start:start + chunk]
+            sims = m @ _dense(ids[part], weights[part], columns).T
+            r, c = np.nonzero(sims >= least[:, None])
+            found = np.round(sims[r, c], DIGITS)
+            c = part[c]
+            new = np.flatnonzero((found > 0) & (a[r] != b[c]))
+            row, spot, sim = np.concatenate([row, r[new]]), np.concatenate([spot, c[new]]), np.concatenate([sim, found[new]])
+            if len(row) > 4 * most * len(a):
+                row, spot, sim = _best_spots(row, spot, sim, most)
+                full = np.flatnonzero(np.bincount(row, minlength=len(a)) == most)
+                last = np.searchsorted(row, full, "right") - 1
+                least[full] = np.maximum(least[full], sim[last] - _SLACK)
+        row, spot, sim = _best_spots(row, spot, sim, most)
+        return pd.DataFrame({"pid_a": a[row], "pid_b": b[spot], "sim": sim})
+
+    def best(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"pid_a": [], "pid_b": [], "sim": []})
         left, right = left.rename(columns=lambda c: c[3:]), right.rename(columns=lambda c: c[3:])
+        # probes with like features stand together, so that a chunk has few columns
+        left = left.iloc[sorted(range(len(left)), key=list(map(tuple, left["ids"])).__getitem__)]
         right = right.sort_values("first_key", kind="stable")
-        return pd.concat([nearest(left.iloc[s:s + chunk], right) for s in range(0, len(left), chunk)])
+        flat = np.concatenate([np.asarray(i) for i in right["ids"]])
+        starts = np.concatenate([[0], np.cumsum([len(i) for i in right["ids"]])[:-1]])
+        return pd.concat([nearest(left.iloc[s:s + chunk], right, flat, starts) for s in range(0, len(left), chunk)])
     return best
 
 

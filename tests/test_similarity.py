@@ -68,3 +68,23 @@ def test_recommendations_of_tiny_and_unknown(spark):
     assert (best[1], best[2]) == (2, 1)
     bare = three.drop("title", "brand", "category")
     assert {r["method"] for r in recommend.similar_products(bare, 2, "hybrid").collect()} == {"collaborative"}
+
+
+def test_only_rows_that_can_be_near_are_multiplied(monkeypatch):
+    import pandas as pd
+    multiplied, dense = [], similarity._dense
+    monkeypatch.setattr(similarity, "_dense", lambda ids, weights, columns: multiplied.append(len(ids)) or dense(ids, weights, columns))
+
+    def side(name, rows):
+        return pd.DataFrame(rows, columns=[f"{name}_{c}" for c in ("pid", "first_key", "ids", "weights", "prefix", "least")])
+    probes = side("pc", [("p0", 0, [0, 9], [0.8, 0.6], 1, 0.5), ("p1", 1, [1, 9], [0.8, 0.6], 1, 0.5)])
+    postings = side("dc", [(f"p{i}", i, [i % 60, 9], [0.8, 0.6], 1, 0.5) for i in range(240)])
+    got = similarity._score(2, 1)((0, 0, 0), probes, postings)
+    assert set(zip(got["pid_a"], got["pid_b"], got["sim"])) == {
+        (f"p{a}", f"p{b}", 1.0) for a in (0, 1) for b in (a + 60, a + 120, a + 180)}
+    assert sum(multiplied) <= 2 + 2 * 4  # each probe, and the rows that share its rare feature
+
+
+def test_best_spots_of_equals_are_the_first():
+    row, spot, sim = similarity._best_spots(np.array([1, 0, 0, 0, 1]), np.array([4, 9, 2, 5, 1]), np.array([0.1, 0.5, 0.5, 0.7, 0.3]), 2)
+    assert list(zip(row, spot, sim)) == [(0, 5, 0.7), (0, 2, 0.5), (1, 1, 0.3), (1, 4, 0.1)]
