@@ -130,3 +130,14 @@ def test_chart_tables_read_stored_rows(spark):
     tables = full_run.chart_tables(df)
     assert tables["price_box"].count() == 1
     assert all("/charts-" in f for t in (tables["price_density"], tables["brand_share"], tables["completeness"]) for f in t.inputFiles() or [""])
+
+
+def test_distinct_values_are_counted_without_a_wide_row_for_each_column(spark):
+    rows = [(k % 7, float(k % 5) if k % 3 else None, f"t{k % 40}", f"u{k}", {"a": str(k % 4)}, None) for k in range(2000)]
+    df = spark.createDataFrame(rows, "n long, x double, few string, many string, m map<string,string>, nothing string")
+    found = quality.column_quality(df)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["column"]: (r["unique_values"], r["missing_percentage"], r["data_type"]) for r in found.collect()}
+    assert got == {"n": (7, 0.0, "bigint"), "x": (5, 33.35, "double"), "few": (40, 0.0, "string"), "many": (100, 0.0, "string"),
+                   "m": (4, 0.0, "map<string,string>"), "nothing": (0, 100.0, "string")}
+    assert {r["unique_values"] for r in quality.column_quality(df.limit(0)).collect()} == {0}
