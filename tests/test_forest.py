@@ -1,5 +1,7 @@
 """Forests grown from blocks of rows: known splits, and figures like those of ``pyspark.ml``."""
 
+import threading
+
 import numpy as np
 import pytest
 
@@ -49,3 +51,19 @@ def test_a_constant_label_is_predicted(spark):
     model = forest.grow(forest.pack(data.train, data.features, "price"), "p", trees=3)
     assert (model.value[:, -1] == 7.0).all() and model.featureImportances.toArray().sum() == 0
     data.release()
+
+
+def test_boosters_have_local_properties_of_their_own(spark, monkeypatch):
+    data, met, seen = stepped(spark, 200), threading.Barrier(2), {}
+
+    def fit(self, rows):
+        name = self.getPredictionCol()
+        spark.sparkContext.setLocalProperty("booster", name)
+        met.wait(60)
+        seen[name] = spark.sparkContext.getLocalProperty("booster")
+        return regression.RandomForestRegressor(numTrees=1, maxDepth=1, labelCol="price", predictionCol=name).fit(rows)
+
+    monkeypatch.setattr(regression.GBTRegressor, "fit", fit)
+    regression.train(data, ("gradient_boosting", "catboost"), rounds=2)
+    assert seen == {"gradient_boosting": "gradient_boosting", "catboost": "catboost"}
+    data.release()
