@@ -27,6 +27,8 @@ CONTENT_WEIGHT, FEATURE_WEIGHT = 0.6, 0.4
 NUMBERS, MARKS = ("price", "rating", "reviews_count"), ("brand", "category")
 #: (id, feature) entries up to which probes are sent to all tasks; beyond, all edges are made anew.
 PROBE_ENTRIES = 1_000_000
+#: Pairs of probes and products up to which these are formed; beyond, bounds leave most of them out.
+PROBE_PAIRS = 1_000_000_000
 MODEL = "part string, name string, value string, a double, b double, c double"
 
 
@@ -95,13 +97,14 @@ def _best(edges: DataFrame, key: str, k: int) -> DataFrame:
     return best_per_group(edges, [key], [F.desc("similarity"), F.asc("neighbour")], k).select(key, "neighbour", "similarity", "rank")
 
 
-def small_enough(probes: DataFrame) -> bool:
-    return (probes.agg(F.sum(F.size("v"))).first()[0] or 0) <= PROBE_ENTRIES
+def small_enough(probes: DataFrame, packed: DataFrame) -> bool:
+    sizes = probes.agg(F.sum(F.size("v")).alias("entries"), F.count(F.lit(1)).alias("n")).first()
+    return (sizes["entries"] or 0) <= PROBE_ENTRIES and sizes["n"] * packed.count() <= PROBE_PAIRS
 
 
 def nearest_to(probes: DataFrame, packed: DataFrame, k: int = 10, key: str = "product_id") -> DataFrame:
     """The ``k`` nearest of some products only; all are compared where the probes are many."""
-    if small_enough(probes):
+    if small_enough(probes, packed):
         return _best(scored(probes, packed, key), key, k)
     return most_similar(_long(packed, key), key, k).join(probes.select(key), key, "left_semi")
 
@@ -162,7 +165,7 @@ def refresh(products: DataFrame, root: str, as_of: str) -> int:
     probed = (moved.where("kind <> 'removed'").select(key).union(listing).distinct()
               .join(moved.where("kind = 'removed'").select(key), key, "left_anti"))
     probes = saved(found.join(probed, key, "left_semi"), "probes")
-    if not small_enough(probes):
+    if not small_enough(probes, found):
         edges = most_similar(_long(found, key), key, k)
     else:
         pairs = saved(scored(probes, found, key), "pairs")

@@ -101,3 +101,12 @@ def test_few_are_probed_alone(spark, tables):
     few = recommend.similar_to(products, spark.createDataFrame([(3,), (9,), (777,)], "product_id long"), 4)
     names = ["product_id", "neighbour", "similarity", "rank", "method"]
     assert sorted(map(tuple, few.select(names).collect())) == sorted(map(tuple, whole.select(names).collect()))
+
+
+def test_many_pairs_are_not_formed(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [("a", 0.6), (f"b{i % 5}", 0.8)]) for i in range(30)],
+                                 "product_id long, v array<struct<feature:string,weight:double>>")
+    few = {tuple(r) for r in graph.nearest_to(rows, rows, 3).select("product_id", "neighbour", "similarity", "rank").collect()}
+    monkeypatch.setattr(graph, "PROBE_PAIRS", 30 * 30 - 1)
+    monkeypatch.setattr(graph, "scored", None)  # forms every pair
+    assert {tuple(r) for r in graph.nearest_to(rows, rows, 3).select("product_id", "neighbour", "similarity", "rank").collect()} == few
